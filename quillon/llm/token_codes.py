@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import BIN, INT, LONG, STR, schema, scratch_path
+from .words import Words, mix, text_bytes, text_slices
 
 MAGIC = b"QDAC0001"
 RANK_STEP = 512
@@ -112,68 +114,155 @@ def to_blob(doc_ids: list, ids: list[np.ndarray]) -> bytes:
 
 
 # ---------------------------------------------------------------- the tokenizer
+_MARKS = ".,;:!?*%$&#"
+#: what stands before a piece: the start of the text, a line feed, a space
+_LEADS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], dtype=np.uint64)
+
+
 class PieceEncoder:
     """A byte-level BPE of the tokenizers library, with the ids of pieces kept.
 
     Such a tokenizer never merges across a single space or line feed that stands
-    between two other characters, so a text is encoded piece by piece, each piece
-    by the library once while the table lasts. A text with any other white space
-    next to those is encoded in one call.
+    between two other characters, nor between a letter or digit and a mark after
+    it, so a text is encoded piece by piece: the library encodes each piece that is new,
+    known ones are looked up for a whole slice at once, by 64-bit fingerprints.
+    The first ``keep`` pieces that a worker meets (frequent ones come early) stay
+    known. A text with any other white space between or around words is encoded in one call.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 1 << 20, keep_cores: int = 300_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.keep, self.first, self.spaced = keep, {}, {}
+        self.keep, self.keep_cores = keep, keep_cores
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.slots = np.full(4 * keep, -1, np.int32)
+        self.keys = np.zeros(keep, np.uint64)
+        self.begin, self.size = np.zeros(keep, np.int64), np.zeros(keep, np.int64)
+        self.flat = np.zeros(8 * keep, self.kind)
+        self.n = self.used = 0
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, new: set, lead: str) -> None:
-        if len(known) + len(new) > self.keep:
-            known.clear()
-        plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self._ids([lead + x for x in plain]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        first, spaced = set(), set()
-        for doc in lines:
-            for parts in doc:
-                first.add(parts[0])
-                spaced.update(parts[1:])
-        # what is known goes before what is new comes in: a full table is emptied
-        if len(self.first) + len(first) > self.keep:
-            self.first.clear()
-        if len(self.spaced) + len(spaced) > self.keep:
-            self.spaced.clear()
-        self._learn(self.first, first.difference(self.first), "")
-        self._learn(self.spaced, spaced.difference(self.spaced), " ")
-        out, get0, get1, whole = [], self.first, self.spaced, []
-        for k, doc in enumerate(lines):
-            try:
-                out.append(self.feed.join([b"".join([get0[p[0]], *[get1[x] for x in p[1:]]]) for p in doc]))
-            except TypeError:
-                whole.append(k)
-                out.append(b"")
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]) if whole else [], strict=True):
-            out[k] = ids
+        ids = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        ends = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * int(self.kind[-1])).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def pieces(self, words: list[str], leads: list[str]) -> list[bytes | None]:
+        """Ids of each lead + word (lead: a space or nothing); None where cuts around the word are not safe."""
+        cores = [w.rstrip(_MARKS) for w in words]
+        cores = [lead + (c if c[-1:].isalnum() else w) for c, w, lead in zip(cores, words, leads, strict=True)]
+        new = list({c for c in cores if c not in self.cores})
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        tails = [w[len(c) - len(lead) :] for c, w, lead in zip(cores, words, leads, strict=True)]
+        more = [t for t in set(tails) if t not in self.tails]
+        last = dict(zip(more, self._ids(more), strict=True)) if more else {}
+        out = []
+        for w, c, t in zip(words, cores, tails, strict=True):
+            ids = self.cores.get(c)
+            tail = self.tails.get(t)
+            out.append((fresh[c] if ids is None else ids) + (last[t] if tail is None else tail) if w.strip() is w else None)
+        if len(self.cores) < self.keep_cores:
+            self.cores.update(fresh)
+        if len(self.tails) < 10_000:
+            self.tails.update(last)
         return out
 
-
-def sub_batches(rb: pa.RecordBatch, col: str, limit: int = 1 << 20):
-    from .words import text_slices
-
-    yield from text_slices([rb], col, limit)
+    def encode(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end`` after it; ids of each text) from the texts' bytes."""
+        docs = len(off) - 1
+        w = Words(buf, off)
+        count = np.diff(w.first)
+        doc = np.repeat(np.arange(docs), count)
+        lead = np.zeros(len(w), np.int64)  # 0 start, 1 line feed, 2 space
+        gap = w.start.copy()
+        gap[1:] -= w.end[:-1]
+        begins = np.zeros(len(w), bool)
+        begins[w.first[:-1][count > 0]] = True
+        before = buf[np.maximum(w.start - 1, 0)]
+        lead[~begins & (before == 0x0A)] = 1
+        lead[~begins & (before == 0x20)] = 2
+        odd = np.where(begins, w.start != off[doc], (gap != 1) | (lead == 0))
+        bad = np.bincount(doc[odd], minlength=docs) > 0
+        some = count > 0
+        bad[some] |= w.end[w.first[1:][some] - 1] != off[1:][some]
+        bad |= ~some & (np.diff(off) > 0)
+        h = mix(w.hashes() ^ _LEADS[lead])
+        slot = (h >> np.uint64(20)).astype(np.int64) % len(self.slots)
+        entry = self.slots[slot].astype(np.int64)
+        hit = (entry >= 0) & (self.keys[np.maximum(entry, 0)] == h)
+        miss = np.flatnonzero(~hit)
+        sizes, flats = [], []
+        if len(miss):
+            keys, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            raw = buf.tobytes()
+            words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+            kinds = lead[at].tolist()
+            got = self.pieces(words, [" " if k == 2 else "" for k in kinds])
+            unsafe = np.array([x is None for x in got])
+            if unsafe.any():
+                bad[doc[miss[unsafe[which]]]] = True
+            got = [b"" if x is None else self.feed + x if k == 1 else x for x, k in zip(got, kinds, strict=True)]
+            width = int(self.kind[-1])
+            sizes = [len(x) // width for x in got]
+            flats = np.frombuffer(b"".join(got), self.kind)
+            entry[miss] = self.n + which
+        size_new = np.array(sizes, np.int64)
+        begin_new = self.used + np.cumsum(size_new) - size_new
+        # batch entries: the known ones, the new ones, the end id, texts encoded whole
+        whole = np.flatnonzero(bad)
+        extra = self._ids([buf[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in whole]) if len(whole) else []
+        extra = [np.frombuffer(x, self.kind) for x in extra]
+        tail = [np.array([end], self.kind), *extra]
+        tail_size = np.array([len(x) for x in tail], np.int64)
+        size = np.concatenate([self.size[: self.n], size_new, tail_size])
+        begin = np.concatenate([self.begin[: self.n], begin_new, self.used + len(flats) + np.cumsum(tail_size) - tail_size])
+        flat = np.concatenate([self.flat[: self.used], flats, *tail]) if len(flats) or extra else np.concatenate([self.flat[: self.used], *tail])
+        n_new, n_old = len(size_new), self.n
+        # the pieces of a text, and its end
+        good = ~bad[doc]
+        pieces = np.where(bad, 1, count)
+        ends = np.cumsum(pieces + 1)
+        tokens = np.full(int(ends[-1]) if docs else 0, n_old + n_new, np.int64)
+        base = ends - pieces - 1
+        within = np.arange(len(w)) - w.first[:-1][doc]
+        tokens[(base[doc] + within)[good]] = entry[good]
+        tokens[base[whole]] = n_old + n_new + 1 + np.arange(len(whole))
+        s = size[tokens]
+        total = np.cumsum(s)
+        ids = flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin[tokens] - (total - s), s)]
+        n_ids = np.diff(np.concatenate([[0], total])[np.concatenate([[0], ends])])
+        if n_new and self.n + n_new <= self.keep and self.used + len(flats) <= len(self.flat):
+            a, b = self.n, self.n + n_new
+            self.keys[a:b], self.begin[a:b], self.size[a:b] = keys, begin_new, size_new
+            self.flat[self.used : self.used + len(flats)] = flats
+            where = (keys >> np.uint64(20)).astype(np.int64) % len(self.slots)
+            free = (self.slots[where] < 0) & ~unsafe
+            self.slots[where[free]] = np.arange(a, b)[free]
+            self.n, self.used = b, self.used + len(flats)
+        return ids, n_ids
+
+
+_encoders: dict = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder, which outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 # ---------------------------------------------------------------- the operator
-def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_bytes: int = 16 << 20, file_tokens: int = 8 << 20) -> tuple[str, list]:
+def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_bytes: int = 8 << 20, file_tokens: int = 4 << 20) -> tuple[str, list]:
     """Encode ``docs(doc_id, text)`` and write the ids as .dac files in ascending doc_id order.
 
     Ids are encoded where the texts lie; what is shuffled is ids (two bytes each
@@ -191,15 +280,15 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000)).first()[0] or []))
 
     def encode(batches):
-        enc = PieceEncoder(tokenizer)
-        end = np.array([end_id], dtype=enc.kind).tobytes()
+        enc = encoder(tokenizer)
         at = np.array(cuts, dtype=np.int64)
-        for whole in batches:
-            for rb in sub_batches(whole, "text"):
-                keys = rb.column("doc_id")
-                ids = enc.encode([x or "" for x in rb.column("text").to_pylist()])
-                parts = np.searchsorted(at, np.array(keys.fill_null(-(1 << 63))), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(parts), keys, pa.array([x + end for x in ids], pa.binary())], ["part", "doc_id", "ids"])
+        for rb in text_slices(batches):
+            keys = rb.column("doc_id")
+            ids, n = enc.encode(*text_bytes(rb.column("text")), end_id)
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n * ids.itemsize, dtype=np.int32)])
+            coded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            parts = np.searchsorted(at, np.array(keys.fill_null(-(1 << 63))), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(parts), keys, coded], ["part", "doc_id", "ids"])
 
     coded = docs.mapInArrow(encode, schema(part=INT, doc_id=LONG, ids=BIN))
 
