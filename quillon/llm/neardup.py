@@ -8,9 +8,9 @@ similarity, with concentration as for independent coordinates.
 
 Bands of ``rows`` coordinates make buckets. Sets that are equal are one class
 first, so exact copies cost one row each. Within buckets, pairs are taken with
-a few centres in star rounds, each verified on the full shingle sets; what these leave
-unconnected is compared in blocks of bounded size by the sketches, and
-verified too. Nothing is capped: members of a bucket that are already in
+one centre first, each verified on the full shingle sets; what that leaves
+unconnected is gathered, by sketches and sizes, into sets of alike ones, and
+these are compared in blocks of bounded size on the full shingle sets. Nothing is capped: members of a bucket that are already in
 one component need no comparison, all others get one.
 
 Null texts and texts without words have an empty set, are linked with nothing
@@ -135,53 +135,91 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int, salt_rows: int = 5
     return rows.mapInArrow(run, schema(a=LONG, b=LONG))
 
 
-def block_pairs(members: DataFrame, block: int, least: float) -> DataFrame:
-    """Pairs of ``members(key, rep, comp, small)`` of one key and different comp whose sketches agree in ``least`` of the coordinates.
-
-    A key's members are dealt to parts of about ``block``; a task compares two parts, so no task holds a whole hot key.
+def _groups(batches, names: list[str]):
+    """Runs of rows with equal (key, i, j), from batches sorted by these: (key, i, j, columns)."""
+    held = None
+    for rb in batches:
+        t = pa.Table.from_batches([rb] if held is None else [held, rb])
+        if not t.num_rows:
+            continue
+        t = t.combine_chunks()
+        cols = [np.array(t.column(c)) for c in ("key", "i", "j")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        begin = np.flatnonzero(new)
+        for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            yield cols[1][x], cols[2][x], t.slice(x, y - x)
+        held = t.slice(int(begin[-1])).combine_chunks().to_batches()[0]
+    if held is not None and held.num_rows:
+        yield held.column("i")[0].as_py(), held.column("j")[0].as_py(), pa.Table.from_batches([held])
+
+
+def block_links(members: DataFrame, block: int, least: float, threshold: int, exact: bool) -> DataFrame:
+    """Links between members (key, rep, comp, small, n_set, [set]) of one key, of different comp: a spanning forest in each block.
+
+    A pair counts if its sizes allow the threshold and its sketches agree in ``least``
+    of the coordinates and, with ``exact``, if its full sets meet the threshold (else the
+    components are linked, not the members). A
+    key's members are dealt to parts of about ``block``; a task compares two parts, so no
+    task holds a whole hot key, and at most one row a member leaves it.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    rest = ["rep", "comp", "small", "n_set", *(["set"] if exact else [])]
     own = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = own.select("key", "rep", "comp", "small", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "small")
-
-    def run(key, pdf):
-        i, j = key[1], key[2]
-        a, b = pdf[pdf.part == i], pdf[pdf.part == j]
-        sa = np.frombuffer(b"".join(a.small), np.uint8).reshape(-1, COORDS)
-        sb = np.frombuffer(b"".join(b.small), np.uint8).reshape(-1, COORDS)
-        ra, rb, ca, cb = (x.to_numpy() for x in (a.rep, b.rep, a.comp, b.comp))
-        out = []
-        for k in range(len(a)):
-            near = (sb == sa[k]).sum(axis=1) >= least * COORDS
-            near &= (cb != ca[k]) & (rb < ra[k] if i == j else True)
-            out.append(np.stack([np.maximum(rb[near], ra[k]), np.minimum(rb[near], ra[k])], axis=1))
-        import pandas as pd
-
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, schema(a=LONG, b=LONG)).distinct()
+    dealt = own.select("key", "part", *rest, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *rest)
 
-
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, star_rounds: int = 3, block: int = 2048) -> DataFrame:
+    def run(batches):
+        for i, j, t in _groups(batches, rest):
+            part, rep, comp, size = (np.array(t.column(c)) for c in ("part", "rep", "comp", "n_set"))
+            if len(rep) < 2 or (comp == comp[0]).all():
+                continue
+            s = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(-1, COORDS)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] if exact else None
+            name = rep if exact else comp.copy()
+            comp, out = comp.copy(), []
+            for k in np.flatnonzero(part == i).tolist():
+                other = (comp != comp[k]) & (100 * np.minimum(size, size[k]) >= threshold * np.maximum(size, size[k]))
+                other &= part == j if i != j else np.arange(len(rep)) > k
+                ok = np.flatnonzero(other)
+                same = (s[ok] == s[k]).sum(axis=1)
+                ok = ok[same >= least * COORDS]
+                for x in ok[np.argsort(-same[same >= least * COORDS], kind="stable")].tolist():
+                    if comp[x] == comp[k]:
+                        continue
+                    if exact:
+                        at = np.searchsorted(sets[k], sets[x])
+                        at[at == len(sets[k])] = 0
+                        both = int((sets[k][at] == sets[x]).sum())
+                        if 100 * both < threshold * (len(sets[k]) + len(sets[x]) - both):
+                            continue
+                    out.append((max(name[k], name[x]), min(name[k], name[x])))
+                    comp[comp == comp[x]] = comp[k]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema(a=LONG, b=LONG)).distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of ``docs(doc_id, text)``.
 
     Documents are linked where 100 * intersection >= threshold * union of their
     sets of ``size``-word shingles. Bands are made for thresholds of 80 or more:
     a linked pair shares no bucket with probability below 5e-8 at 0.8. A pair
-    that the sketches put below threshold - 0.22 is not verified in the block
-    round (more than six standard deviations).
+    that the sketches put below threshold - 0.18 is not verified in the block
+    rounds (five standard deviations).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_docs = save(sketches(docs, size), "sketch")
     classes = all_docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = all_docs.where("digest is not null").select("digest", "doc_id", "n_shingles").join(classes, "digest").select("doc_id", "n_shingles", "rep")
     member = save(member, "member")
-    reps = all_docs.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "bands", "small").dropDuplicates(["rep"])
+    reps = all_docs.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "bands", "small", "n_shingles").dropDuplicates(["rep"])
     keys = reps.select("rep", F.explode("bands").alias("key"))
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = save(keys.join(many, "key"), "buckets")  # only buckets of two or more
     degree = keys.groupBy("rep").agg(F.sum("n").alias("degree"))
-    small = reps.select("rep", "small").join(degree, "rep")
+    small = reps.select("rep", "small", F.col("n_shingles").alias("n_set")).join(degree, "rep")
     small = save(small, "candidates")
     wanted = docs.join(small.select(F.col("rep").alias("doc_id")), "doc_id")
 
@@ -192,30 +230,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, star_ro
     sets = save(wanted.select("doc_id", "text").mapInArrow(full, schema(rep=LONG, set=BIN)).dropDuplicates(["rep"]), "sets")
     comp = None  # (node, component_id) so far
     links = None
-    least = threshold / 100 - 0.22
-    for k in range(star_rounds + 1):
-        if comp is None:
-            now = keys.join(small.select("rep", "degree"), "rep").select("key", "rep", F.col("rep").alias("comp"), "degree")
-        else:
-            now = keys.join(small.select("rep", "degree"), "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("comp"), "degree")
-            open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            now = save(now.join(open_keys, "key"), "open")
-            if now.isEmpty():
-                break
-        if k < star_rounds:
-            order = F.col("degree") if k == 0 else F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 30))
-            best = now.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("rep").alias("r"), F.col("comp").alias("c"))).alias("m"))
-            pairs = now.join(best, "key").where("rep <> m.r and comp <> m.c").select(F.col("rep").alias("a"), F.col("m.r").alias("b")).distinct()
-        else:
-            pairs = block_pairs(now.join(small.select("rep", "small"), "rep").select("key", "rep", "comp", "small"), block, least)
-        good = save(verify(save(pairs, "pairs"), sets, threshold), "links")
-        if comp is not None and good.isEmpty():
-            continue
-        links = good if links is None else links.unionAll(good)
-        comp = save(components(links), "components")
-    if comp is None:
-        linked = member.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    else:
-        linked = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    least = threshold / 100 - 0.18
+    best = keys.join(small.select("rep", "degree"), "rep").groupBy("key").agg(F.max(F.struct("degree", "rep")).alias("m"))
+    star = keys.join(best, "key").where("rep <> m.rep").select(F.col("rep").alias("a"), F.col("m.rep").alias("b")).distinct()
+    links = save(verify(save(star, "star"), sets, threshold), "links")
+    comp = save(components(links), "components")
+    now = keys.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("comp"))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = now.join(open_keys, "key").join(small.select("rep", "small", "n_set"), "rep")
+    alike = save(block_links(members, block, least, threshold, exact=False), "alike")
+    if not alike.isEmpty():  # each group of alike components is compared once, on the full sets
+        group = components(alike).select(F.col("node").alias("comp"), F.col("component_id").alias("key"))
+        own = small.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component_id", "rep").alias("comp"))
+        tied = own.join(group, "comp").select("key", "rep", "comp")
+        tied = tied.join(small.select("rep", "small", "n_set"), "rep").join(sets, "rep")
+        more = save(block_links(tied, block // 4, least, threshold, exact=True), "links")
+        if not more.isEmpty():
+            comp = save(components(links.unionAll(more)), "components")
+    linked = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     alone = all_docs.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
