@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block:
     degree = keys.groupBy("rep").agg(F.sum("n").alias("degree"))
     small = reps.select("rep", "small", F.col("n_shingles").alias("n_set")).join(degree, "rep")
     small = save(small, "candidates")
-    wanted = docs.join(small.select(F.col("rep").alias("doc_id")), "doc_id")
+    wanted = docs.join(small.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id")  # they grow with the documents: no broadcast
 
     def full(batches):
         for rb in text_slices(batches):
