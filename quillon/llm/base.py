@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH_ROWS = "1000"
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of texts stay small where the session has not chosen a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any path that Spark's readers can open."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +43,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
     The files survive the loss of any executor, unlike a local checkpoint.
     """
+    lean(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

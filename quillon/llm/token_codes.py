@@ -130,7 +130,7 @@ class PieceEncoder:
     known. A text with any other white space between or around words is encoded in one call.
     """
 
-    def __init__(self, path: str, keep: int = 1 << 20, keep_cores: int = 300_000):
+    def __init__(self, path: str, keep: int = 1 << 19, keep_cores: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -142,7 +142,7 @@ class PieceEncoder:
         self.keep, self.keep_cores = keep, keep_cores
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
-        self.slots = np.full(4 * keep, -1, np.int32)
+        self.slots = np.zeros(0, np.int32)  # made when a text is encoded
         self.keys = np.zeros(keep, np.uint64)
         self.begin, self.size = np.zeros(keep, np.int64), np.zeros(keep, np.int64)
         self.flat = np.zeros(8 * keep, self.kind)
@@ -177,6 +177,8 @@ class PieceEncoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; ids of each text) from the texts' bytes."""
+        if not len(self.slots):
+            self.slots = np.full(4 * self.keep, -1, np.int32)
         docs = len(off) - 1
         w = Words(buf, off)
         count = np.diff(w.first)
