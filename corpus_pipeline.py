@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontam, kdshard, langid, mixing, neardup
-from quillon.llm.base import crc32_of_id, save, table
+from quillon.llm.base import crc32_of_id, lean, save, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without text, go; every other one has a language of the corpus and stays."""
+    lean(spark)
     model = langid.fit(docs, crc32_of_id() % 5 != 0)
     return langid.identify(docs, model, COLUMNS[1:]).where("lang_pred <> 'und'").select(COLUMNS)
 
