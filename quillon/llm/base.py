@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def lean(spark: SparkSession) -> None:

@@ -79,7 +79,7 @@ def fit(docs: DataFrame, train: Column, docs_per_language: int = 4000) -> dict:
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for rb in text_slices(batches):
+        for rb in text_slices(batches, limit=1 << 19):
             lang = np.array(rb.column("lang").to_pylist(), dtype=object)
             buf, off = text_bytes(rb.column("text"))
             ids, owner, words = _features(buf, off)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         logp = shared.value
-        for rb in text_slices(batches):
+        for rb in text_slices(batches, limit=1 << 19):
             buf, off = text_bytes(rb.column("text"))
             ids, owner, words = _features(buf, off)
             like = np.zeros((len(words), len(langs)), np.float64)

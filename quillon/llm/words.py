@@ -67,6 +67,18 @@ def text_slices(batches, col: str = "text", limit: int = CHUNK_BYTES) -> Iterato
             to = min(to, rb.num_rows)
             yield rb.slice(at, to - at)
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """At the end of a task, freed memory goes back to the system: a reused worker holds little while idle."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
