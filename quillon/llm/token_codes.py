@@ -130,7 +130,7 @@ class PieceEncoder:
     known. A text with any other white space between or around words is encoded in one call.
     """
 
-    def __init__(self, path: str, keep: int = 1 << 19, keep_cores: int = 200_000):
+    def __init__(self, path: str, keep: int = 1 << 20, keep_cores: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -284,7 +284,7 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     def encode(batches):
         enc = encoder(tokenizer)
         at = np.array(cuts, dtype=np.int64)
-        for rb in text_slices(batches):
+        for rb in text_slices(batches, limit=2 << 20):
             keys = rb.column("doc_id")
             ids, n = enc.encode(*text_bytes(rb.column("text")), end_id)
             ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n * ids.itemsize, dtype=np.int32)])
