@@ -201,7 +201,7 @@ class PieceEncoder:
         entry = self.slots[slot].astype(np.int64)
         hit = (entry >= 0) & (self.keys[np.maximum(entry, 0)] == h)
         miss = np.flatnonzero(~hit)
-        sizes, flats = [], []
+        sizes, flats = [], np.zeros(0, self.kind)
         if len(miss):
             keys, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             at = miss[first]

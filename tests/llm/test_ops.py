@@ -43,6 +43,16 @@ def test_codes_random_access_and_round_trip(spark, texts, tmp_path):
     assert token_codes.write_codes(docs(spark, ["x"]).limit(0), tokenizer_path(), 2)[1] == []
 
 
+def test_codes_of_a_slice_without_new_pieces():
+    enc = token_codes.PieceEncoder(tokenizer_path())
+    for texts in (["a b", ""], ["a b", "", " \n"], ["", "  "], [" \n"]):
+        raw = [t.encode() for t in texts]
+        off = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in raw])])
+        ids, n = enc.encode(np.frombuffer(b"".join(raw), np.uint8), off, 2)
+        want = [[*enc.tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.dtype == enc.kind and ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+
+
 def test_langid(spark, texts):
     d = docs(spark, [*texts, "123 45", "der und die das ist nicht"])
     model = langid.fit(d, crc32_of_id() % 5 != 0)
