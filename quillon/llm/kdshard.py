@@ -11,7 +11,8 @@ A key within a dimension ends with the text's crc32, so equal texts stay
 together except at a cut that a heavy group straddles, which goes on by doc_id.
 
 Null texts have no bytes, null metadata is a value of its own, repeated rows are
-rows, an empty table gives no rows and other columns are ignored.
+rows, an empty table gives no rows and other columns are ignored. With fewer
+rows than shards, or very heavy ones, some shards stay empty.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, bins: int = 2048, tolerance: fl
             for n, (first, count) in level.items():
                 x = nodes.get(n)
                 if x is None:
-                    fresh[n] = (first, count)
+                    fresh[n] = (first, 1)  # one shard, or no rows: nothing to cut
                     continue
                 key = F.col(x["dim"])
                 left = key < F.lit(x["cut"])

@@ -160,6 +160,8 @@ def test_kd_shards(spark, texts):
     for _, g in rows.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert kdshard.sharded(docs(spark, ["x"]).limit(0), 4).count() == 0
+    few = kdshard.sharded(docs(spark, ["x" * 5000, None, "", "same", "same", "y" * 9000]), 24).toPandas()  # shards without rows
+    assert sorted(few.doc_id) == list(range(6)) and few.shard.between(0, 23).all()
     even = kdshard.sharded(docs(spark, [f"text {i}" for i in range(400)]), 8).toPandas().groupby("shard")["size"].sum()
     assert len(even) == 8 and even.max() <= 1.05 * even.mean()
 
