@@ -14,7 +14,8 @@ before any text moves, and just the windows of those are grouped.
 
 Words are compared by bytes. Null texts have no words; a document of fewer than
 k words has no window and stays whole; a null doc_id is before all others and rows that
-repeat a doc_id are one document said twice, never removed against each other.
+repeat a doc_id with one text are one document said twice, never removed against each other;
+rows of one doc_id with different texts are documents of their own, in the order of the texts' hashes.
 Other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .base import BIN, INT, LONG, STR, save, schema
 from .words import NOT_SPACE, Words, grams, mix, text_bytes, text_slices
@@ -235,9 +237,26 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
 
 
+def told_apart(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(did, text) in which a did names one text, and the (rank, did) behind new ids, if any were needed.
+
+    New ids are ranks by (did, hash of the text): sorted ranges are numbered from the counts of those before them.
+    """
+    mark = F.xxhash64("text")
+    if own.groupBy("did").agg((F.min(mark) < F.max(mark)).alias("differ")).where("differ").isEmpty():
+        return own, None
+    own = own.withColumn("mark", mark)
+    keys = save(own.select("did", "mark").distinct().repartitionByRange("did", "mark").withColumn("part", F.spark_partition_id()), "keys")
+    counts = keys.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    rank = F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy("did", "mark"))
+    ranks = save(keys.join(ahead, "part").select("did", "mark", rank.cast("long").alias("rank")), "ranks")
+    return own.join(ranks, ["did", "mark"]).select(F.col("rank").alias("did"), "text"), ranks.select("rank", "did")
+
+
 def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, hot: int = 20_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every document."""
-    own = with_key(docs)
+    own, ranks = told_apart(with_key(docs))
     spans = save(repeated_spans(own, k, m, hot), "spans")
     lists = spans.groupBy("did").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
@@ -270,4 +289,8 @@ def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, hot: int = 20_000,
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = dict(doc_id=LONG, n_words=LONG, n_removed=LONG, kept_sha256=STR) | ({"kept_text": STR} if with_text else {})
-    return own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds))
+    out = own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds))
+    if ranks is None:
+        return out
+    back = out.join(ranks, F.col("doc_id") == F.col("rank")).withColumn("doc_id", F.expr(f"nullif(did, {NO_ID + 1} - 1)"))
+    return back.select(*kinds)

@@ -112,6 +112,14 @@ def test_substring(spark, texts, hot):
     assert got == brute_substring(few, 20)
 
 
+def test_substring_of_repeated_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (1, one), (1, two), (1, None), (None, "z " + two), (2, one + " " + two)]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, did int, mark string")
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in substring.remove_repeated(d).collect())
+    assert got == [(0, 31, 0), (1, 0, 0), (1, 30, 0), (1, 30, 0), (1, 30, 30), (2, 60, 60)]
+
+
 def test_hnsw_recall_ties_and_bad_vectors(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((900, 16)).astype(np.float32)
