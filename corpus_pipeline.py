@@ -19,21 +19,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id."""
+    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id. Rows without an id stay, and so do repeated rows of one that stays."""
     gone = neardup.near_duplicates(docs, size=5, threshold=80).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(save(hit, "hit"), "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold ten consecutive words of a benchmark item go. Rows with one doc_id, or none, are judged together."""
+    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("hit_id"))
+    return docs.select(COLUMNS).join(save(hit, "hit"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document once, rarer sources up to twice."""
-    reads = mixing.mix_sources(docs, max_repeat=2.0, cover=True).groupBy("doc_id").agg(F.count("*").cast("int").alias("reads"))
-    return docs.join(reads, "doc_id").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("reads")))).select(COLUMNS)
+    """Sources at their target weights: each document once, rarer sources up to twice.
+
+    Rows with one doc_id, or none, are read equally often: their reads by their number, rounded up.
+    """
+    docs = docs.select(COLUMNS)
+    rows = mixing.mix_sources(docs, max_repeat=2.0, cover=True)  # with cover every row is in pass 0
+    reads = rows.groupBy(F.col("doc_id").alias("read_id")).agg(F.ceil(F.count("*") / F.count_if(F.col("pass") == 0)).cast("int").alias("reads"))
+    return docs.join(reads, F.col("doc_id").eqNullSafe(F.col("read_id"))).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("reads")))).select(COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,19 @@ def test_pipeline(spark):
     kept = set(out.doc_id)
     assert all(first[tuple(words(docs[i]))] == i for i in kept if words(docs[i]))  # no exact copy stays
     assert len(kept) > 0.6 * len(set(first.values()))
+
+
+def test_stages_with_repeated_and_missing_ids(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(14))
+    plain = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(1, plain[0], "en", "s"), (1, plain[0], "en", "s"), (2, plain[1], None, None), (None, plain[2], "en", "s"), (3, plain[3] + " " + item, "en", "s"), (4, None, "en", "s"), (None, None, None, None)]
+    d = spark.createDataFrame([(*r, 1, 5, 6, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, reads int, copy int, hit_id string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    assert ids(steps["language_id"](spark, d, str(tmp_path))) == [0, 1, 1, 2, 3]
+    assert ids(steps["near_dedup"](spark, d, str(tmp_path))) == [0, 0, 1, 1, 2, 3, 4]
+    assert ids(steps["decontaminate"](spark, d, str(tmp_path))) == [0, 0, 1, 1, 2, 4]
+    mixed = ids(steps["mix"](spark, d, str(tmp_path)))
+    assert set(mixed) == {0, 1, 2, 3, 4} and mixed.count(1) == 2 and mixed.count(2) == 2 and mixed.count(0) >= 2
+    assert len(ids(steps["shard"](spark, d, str(tmp_path)))) == len(rows)
