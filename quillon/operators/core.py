@@ -96,6 +96,12 @@ def find_counts(records: DataFrame, needle: str, case_sensitive: bool = False) -
     return records.withColumn("matches", count).where("matches > 0")
 
 
+def find_summary(records: DataFrame, needle: str, case_sensitive: bool = False, cap: int = FIND_CAP) -> DataFrame:
+    """matches (all of them), records that hold one, and whether a listing of ``cap`` would leave some out."""
+    n = F.coalesce(F.sum("matches"), F.lit(0)).cast("long")
+    return find_counts(records, needle, case_sensitive).agg(n.alias("matches"), F.count("*").alias("records"), (n > cap).alias("limited"))
+
+
 def find_offsets(records: DataFrame, needle: str, case_sensitive: bool = False, cap: int | None = None) -> DataFrame:
     """source, rec, offset (bytes from the record's start, plus ``start`` where there is one) of each match."""
     hit = find_counts(records, needle, case_sensitive)
@@ -246,6 +252,21 @@ def goto(records: DataFrame, path: str) -> DataFrame:
     return _arrow(records, f"{_ID}, start bigint, value string", run)
 
 
+def goto_offset(records: DataFrame, offset: int) -> DataFrame:
+    """The record that holds a byte offset: the one with the greatest start not after it; none before the first. One partial maximum, no sort."""
+    best = records.where(F.col("start") <= offset).agg(F.max(F.struct("start", F.struct(*records.columns))).alias("m")).where("m is not null")
+    return best.select("m.col2.*")
+
+
+def text_range(records: DataFrame, start: int, end: int, limit: int = 1 << 20) -> DataFrame:
+    """source, rec, text, truncated: the bytes [start, end) of each record, decoded, at most ``limit`` bytes; a cut character reads as U+FFFD."""
+    raw = F.col("raw") if "raw" in records.columns else F.col("text").cast("binary")
+    size = max(0, min(end - start, limit))
+    piece = F.substring(raw, start + 1, size)
+    cut = F.least(F.coalesce(F.octet_length(raw), F.lit(0)), F.lit(end)) - start > size
+    return records.select("source", "rec", F.make_valid_utf8(piece.cast("string")).alias("text"), cut.alias("truncated"))
+
+
 def parse_path(text: str) -> list:
     """``$.a[0]["odd key"]``, ``a.b``: names and indices."""
     text = text.strip()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import core, export, schema
 from ..sources import records as source
@@ -61,6 +62,18 @@ class JsonDataset:
     def goto(self, path: str) -> DataFrame:
         return core.goto(self.records, path)
 
+    def goto_row(self, rec: int) -> DataFrame:
+        return self.records.where(F.col("rec") == rec)
+
+    def goto_offset(self, offset: int) -> DataFrame:
+        return core.goto_offset(self.records, offset)
+
+    def text(self, start: int, end: int, limit: int = 1 << 20) -> DataFrame:
+        return core.text_range(self.records, start, end, limit)
+
+    def find_summary(self, needle: str, case_sensitive: bool = False) -> DataFrame:
+        return core.find_summary(self.records, needle, case_sensitive)
+
     def export(self, path: str, kind: str = "ndjson") -> None:
         export.write(self.records, path, kind)
 

@@ -60,7 +60,7 @@ def _schema(records, text):
 
 
 def _lineitem_arrays(spark, d):
-    a = _t(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
+    a = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
     return from_column(a.select("l_orderkey", F.to_json(F.col("x.q")).alias("j")), "j", "l_orderkey")
 
 
@@ -137,7 +137,7 @@ QUERIES = {
     "schema_required": _schema(_nulls, {"required": ["k"]}),
     "schema_enum": _schema(_parts, {"properties": {"brand": {"enum": ["Brand#11", "Brand#12"]}}}),
     "schema_bounds": _schema(_parts, {"properties": {"size": {"minimum": 10, "exclusiveMaximum": 40}}}),
-    "schema_items_ref": _schema(_parts, {"$defs": {"short": {"maxLength": 12}}, "properties": {"tags": {"items": {"$ref": "#/$defs/short"}, "maxItems": 2}}}),
+    "schema_items_ref": _schema(_parts, {"$defs": {"short": {"maxLength": 7}}, "properties": {"tags": {"items": {"$ref": "#/$defs/short"}, "maxItems": 2}}}),
     "schema_additional": _schema(_parts, {"properties": {"id": True, "brand": True, "size": True, "tags": True}, "additionalProperties": False}),
     "dedup_records": _dups,
     "dedup_keys": lambda s, d: core.duplicate_keys(_repeat_keys(s, d)).select("rec", "what", "first"),
@@ -151,6 +151,12 @@ QUERIES = {
     "rows_slice": lambda s, d: core.rows(_parts(s, d), 100, 50).select("rec", "kind", "children", "preview"),
     "rows_kind_count": lambda s, d: core.rows(_broken(s, d), 0, 1 << 60).groupBy("kind").agg(F.count("*").alias("n")),
     "expand_children": lambda s, d: core.expand(_parts(s, d), "$.tags").select("rec", "pos", "kind", "value"),
+    "expand_object": lambda s, d: core.expand(_orders(s, d), "$.customer").select("rec", "pos", "key", "kind", "value"),
+    "goto_offset": lambda s, d: core.goto_offset(_events(s, d).withColumn("start", F.col("rec") * 20), 20 * 77 + 5).select("rec"),
+    "find_summary": lambda s, d: core.find_summary(from_column(_t(s, d, "documents"), "text", "doc_id"), "er ", True),
+    "filter_bool_order": _filter(_parts, "@.big < true || @.size <= 3e1 && !(@.missing >= null)"),
+    "schema_keywords": _schema(_parts, {"minProperties": 6, "properties": {"big": {"const": True}, "brand": {"minLength": 9}, "tags": {"minItems": 2, "maxItems": 1}, "size": {"maximum": 30, "exclusiveMinimum": 5}}}),
+    "schema_extra": _schema(_parts, {"properties": {"id": True, "tags": True, "brand": True}, "additionalProperties": {"type": "boolean"}}),
     "goto_path": lambda s, d: core.goto(_orders(s, d), "$.customer.segment").select("rec", "value"),
 }
 
@@ -184,12 +190,12 @@ ORACLE_SQL = {
     "schema_required": "SELECT event_id AS rec, 'missing required property `k`' AS message FROM events WHERE event_id % 4 = 1",
     "schema_enum": "SELECT p_partkey AS rec, 'not one of the values in `enum`' AS message FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12')",
     "schema_bounds": "SELECT p_partkey AS rec, p_size || CASE WHEN p_size < 10 THEN ' is less than the minimum 10' ELSE ' must be less than 40' END AS message FROM part WHERE p_size < 10 OR p_size >= 40",
-    "schema_items_ref": "SELECT p_partkey AS rec, 'longer than the maximum length 12' AS message FROM (SELECT p_partkey, unnest([p_type, p_brand]) AS x FROM part) WHERE length(x) > 12",
+    "schema_items_ref": "SELECT p_partkey AS rec, 'longer than the maximum length 7' AS message FROM (SELECT p_partkey, unnest([p_type, p_brand]) AS x FROM part) WHERE length(x) > 7",
     "schema_additional": "SELECT p_partkey AS rec, 'property `big` is not allowed here' AS message FROM part",
     "dedup_records": "SELECT min(event_id) OVER w AS first_rec, event_id AS second_rec FROM events WINDOW w AS (PARTITION BY event_type, user_id % 50) QUALIFY event_id > min(event_id) OVER w",
     "dedup_keys": "SELECT p_partkey AS rec, 'id' AS what, 1::BIGINT AS first FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, k, CASE k WHEN 'id' THEN 1 ELSE 7 + length(p_partkey::VARCHAR) END FROM part, (VALUES ('id'), ('size')) v(k) WHERE p_size % 3 = 0",
-    "dedup_elements": "SELECT l_orderkey AS rec, q::INT::VARCHAR AS what FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_quantity::INT ORDER BY l_linenumber) AS n FROM lineitem WHERE l_orderkey % 5 = 0) WHERE n > 1",
-    "dedup_counters": "SELECT 0::BIGINT AS keys_checked, count(*) AS elements_checked, (count(*) - count(DISTINCT (l_orderkey, l_quantity::INT)))::BIGINT AS total FROM lineitem WHERE l_orderkey % 5 = 0",
+    "dedup_elements": "SELECT l_orderkey AS rec, q::INT::VARCHAR AS what FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_quantity::INT ORDER BY l_linenumber) AS n FROM lineitem) WHERE n > 1",
+    "dedup_counters": "SELECT 0::BIGINT AS keys_checked, count(*) AS elements_checked, (count(*) - count(DISTINCT (l_orderkey, l_quantity::INT)))::BIGINT AS total FROM lineitem",
     "export_ndjson_min": "SELECT event_id AS rec, replace(props, ' ', '') AS out, false AS salvaged FROM events",
     "export_salvage": f"SELECT event_id AS rec, CASE WHEN json_valid(j) THEN replace(j, ' ', '') ELSE j END AS out, NOT json_valid(j) AS salvaged FROM (SELECT event_id, {_BROKEN} AS j FROM events)",
     "export_pretty": "SELECT event_id AS rec, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS out FROM events",
@@ -198,5 +204,11 @@ ORACLE_SQL = {
     "rows_slice": "SELECT p_partkey AS rec, 'object' AS kind, 5::BIGINT AS children, left('{\"id\":' || p_partkey || ',\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"tags\":[\"' || p_type || '\",\"' || p_brand || '\"],\"big\":' || (p_size > 25)::VARCHAR || '}', 120) AS preview FROM part WHERE p_partkey >= 100 AND p_partkey < 150",
     "rows_kind_count": f"SELECT {_BAD_KIND} AS kind, count(*) AS n FROM events GROUP BY 1",
     "expand_children": "SELECT p_partkey AS rec, pos::BIGINT AS pos, 'string' AS kind, '\"' || x || '\"' AS value FROM (SELECT p_partkey, unnest([p_type, p_brand]) AS x, unnest([0, 1]) AS pos FROM part)",
+    "expand_object": "SELECT o_orderkey AS rec, pos::BIGINT AS pos, key, kind, value FROM (SELECT o_orderkey, unnest([0, 1]) AS pos, unnest(['key', 'segment']) AS key, unnest(['number', 'string']) AS kind, unnest([c_custkey::VARCHAR, '\"' || c_mktsegment || '\"']) AS value FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "goto_offset": "SELECT event_id AS rec FROM events WHERE event_id * 20 <= 1545 ORDER BY event_id DESC LIMIT 1",
+    "find_summary": "SELECT sum((strlen(text) - strlen(replace(text, 'er ', ''))) // 3)::BIGINT AS matches, count(*) AS records, sum((strlen(text) - strlen(replace(text, 'er ', ''))) // 3) > 10000 AS limited FROM documents WHERE contains(text, 'er ')",
+    "filter_bool_order": "SELECT p_partkey AS rec FROM part WHERE p_size <= 30",
+    "schema_keywords": "SELECT p_partkey AS rec, m AS message FROM (SELECT p_partkey, unnest(['fewer than 6 properties', 'more than 1 items', CASE WHEN p_size <= 25 THEN 'not the value that `const` asks for' END, CASE WHEN length(p_brand) < 9 THEN 'shorter than the minimum length 9' END, CASE WHEN p_size > 30 THEN p_size || ' is more than the maximum 30' END, CASE WHEN p_size <= 5 THEN p_size || ' must be greater than 5' END]) AS m FROM part) WHERE m IS NOT NULL",
+    "schema_extra": "SELECT p_partkey AS rec, 'expected boolean, found number' AS message FROM part",
     "goto_path": "SELECT o_orderkey AS rec, '\"' || c_mktsegment || '\"' AS value FROM orders JOIN customer ON o_custkey = c_custkey",
 }

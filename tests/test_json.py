@@ -139,3 +139,12 @@ def test_dataset_and_stream(spark, tmp_path):
     assert len(json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).replace("oops", "0"))) == 51
     passes.write(passes.filter_stream(spark, str(d), "@.n < 5"), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s")).count() == 5
+
+
+def test_text_goto_and_find_summary(spark):
+    r = spark.createDataFrame([("f", 0, 0, "é[1]"), ("f", 1, 10, "[2, 2]"), ("f", 2, 30, None)], "source string, rec long, start long, text string")
+    d = JsonDataset(r)
+    assert [(x.text, x.truncated) for x in d.text(1, 4).orderBy("rec").collect()] == [("\ufffd[1", False), ("2, ", False), (None, False)]
+    assert [x.truncated for x in d.text(0, 9, 3).orderBy("rec").collect()] == [True, True, False]
+    assert [x.rec for x in d.goto_offset(29).collect()] == [1] and d.goto_offset(-1).count() == 0 and [x.rec for x in d.goto_row(2).collect()] == [2]
+    assert tuple(d.find_summary("2").first()) == (2, 1, False) and tuple(d.find_summary("").first()) == (0, 0, False)
