@@ -49,6 +49,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(saved: DataFrame) -> None:
+    """Delete one saved table; call it only when nothing reads it any more."""
+    spark, files = saved.sparkSession, saved.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this library's scratch tables; call it only when nothing reads them any more."""
     jvm = spark.sparkContext._jvm

@@ -67,10 +67,10 @@ def text_slices(batches, col: str = "text", limit: int = CHUNK_BYTES) -> Iterato
             to = min(to, rb.num_rows)
             yield rb.slice(at, to - at)
             at = to
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """At the end of a task, freed memory goes back to the system: a reused worker holds little while idle."""
     import ctypes
 

@@ -75,6 +75,23 @@ def test_lm_base_counts_are_exact(spark, texts):
         assert abs(rows[i].base_score - want) < 1e-6 * abs(want) and rows[i].score < 0
 
 
+def test_lm_learns_from_every_training_document(spark, texts):
+    d, train = docs(spark, [*texts, *(f"{w} " * 60_000 for w in ("deep", "long", "wide"))]), crc32_of_id() % 10 != 0
+    every = [lmscore._lower(r.text or "").split() for r in d.where(train).collect()]
+    got = [lmscore.fit(d, train, tokenizer_path(), sample_bytes=b, frequent=f, steps=5)[0] for b, f in ((1, 50), (2_000_000, 300_000))]
+    sub = lmscore.Subwords(tokenizer_path())
+    streams = [np.concatenate([*sub(w), [sub.end]]).astype(int) for w in every]
+    n = np.bincount(np.concatenate(streams), minlength=sub.end + 1)
+    learns = [len(lmscore._lower(r.text or "").split()) for r in d.where(train).where(~lmscore._held()).collect()]
+    assert len(learns) < len(every) and max(learns) == 60_000
+    for m in got:  # whatever sample_bytes and frequent are
+        weight = n + 0.05
+        assert np.allclose(m.share, np.log(weight / np.bincount(m.kind, weight, minlength=lmscore.CLASSES)[m.kind]))
+        assert m.mass.sum() == sum(len(w) + 1 for w in every)
+        assert m.windows == sum(-(-len(s) // lmscore.S) for s, h in zip(streams, d.where(train).select(lmscore._held().alias("h")).collect(), strict=True) if not h.h)
+    assert abs(got[0].weight - got[1].weight) < 0.05
+
+
 def test_chat_round_trip():
     for t in ("", "a", "\\", "###", "####", "</turn>", "\\### Assistant: </turn> ok", "\n### User: x</turn>\n", "</turn", "\\\\n<#"):
         for role in ("user", "assistant", "", "Assistant", "a: b", "x\n#"):
