@@ -18,16 +18,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, COLUMNS[1:]).where("lang_pred <> 'und'").select(COLUMNS)
 
 
+def rows_of(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a key for each row, in the shared folder: ids may be missing, or repeated with other texts."""
+    return save(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id. Rows without an id stay, and so do repeated rows of one that stays."""
-    gone = neardup.near_duplicates(docs, size=5, threshold=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id, rows without an id last. Each row is judged by its own text; rows that repeat id and text of one that stays do too."""
+    rows = rows_of(docs, "near-rows")
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size=5, threshold=80)
+    found = save(found.select(F.col("doc_id").alias("row"), "component_id", "kept"), "near-found")
+    groups = found.where("not kept").select("component_id").distinct()
+    members = found.join(groups, "component_id").join(rows.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("same")), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row")).alias("first"))
+    stays = (F.col("row") == F.col("first.row")) | F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("same") == F.col("first.same")), F.lit(False))
+    gone = members.join(first, "component_id").where(~stays).select("row")
+    return rows.join(save(gone, "near-gone"), "row", "left_anti").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go. Rows with one doc_id, or none, are judged together."""
-    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("hit_id"))
-    return docs.select(COLUMNS).join(save(hit, "hit"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(COLUMNS)
+    """Documents that hold ten consecutive words of a benchmark item go. Each row is judged by its own text, whatever its id."""
+    rows = rows_of(docs, "rows")
+    hit = decontam.contamination(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(save(hit, "hit"), "row", "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,17 @@ def test_stages_with_repeated_and_missing_ids(spark, tmp_path):
     mixed = ids(steps["mix"](spark, d, str(tmp_path)))
     assert set(mixed) == {0, 1, 2, 3, 4} and mixed.count(1) == 2 and mixed.count(2) == 2 and mixed.count(0) >= 2
     assert len(ids(steps["shard"](spark, d, str(tmp_path)))) == len(rows)
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(14))
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, "x " + item), (None, e), (5, b), (5, c), (5, "y " + item), (4, b + " more"), (6, None), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    got = lambda name: sorted(((r.doc_id or 0), r.text or "") for r in steps[name](spark, d, str(tmp_path)).collect())
+    assert got("decontaminate") == sorted(((i or 0), t or "") for i, t in rows if item not in (t or ""))
+    near = got("near_dedup")
+    assert len(near) == 7 and sum(t.startswith("a0") for _, t in near) == 1
+    assert (4, b + " more") in near and (5, b) not in near and (5, c) in near and (5, "y " + item) in near and (0, "x " + item) not in near and (0, e) in near
