@@ -243,17 +243,18 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, part_words: int = 4_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; each row has its own result."""
     parts = benchmark_parts(items, part_words)
-    first = next(parts, None)
-    if first is None:
-        first = []
-    got = []
-    for part in [first] if not first else _chain(first, parts):
-        ph = Phrases(part) if part else _none()
-        got.append(matches(build_index(docs, ph.vocabulary), ph))
-    if len(got) == 1:
-        return digest(got[0])
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        ph = Phrases(first) if first else _none()
+        return digest(matches(build_index(docs, ph.vocabulary), ph))
+    # ids may be missing or repeated: the parts are merged on a key of the row
+    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed, got = rows.select(F.col("row").alias("doc_id"), "text"), []
+    for part in _chain(first, _chain(second, parts)):
+        ph = Phrases(part)
+        got.append(matches(build_index(keyed, ph.vocabulary), ph))
     every = got[0]
     for x in got[1:]:
         every = every.unionAll(x)
@@ -264,7 +265,8 @@ def contamination(docs: DataFrame, items: DataFrame, part_words: int = 4_000_000
             spans = [np.array([y for x in merge_spans(v) for y in x], np.int64).tobytes() for v in rb.column("lists").to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("n_words"), pa.array(spans, pa.binary()), rb.column("items")], ["doc_id", "n_words", "spans", "items"])
 
-    return digest(one.mapInArrow(join, got[0].schema))
+    found = digest(one.mapInArrow(join, got[0].schema))
+    return found.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row").select("doc_id", *found.columns[1:])
 
 
 def _chain(first, rest):

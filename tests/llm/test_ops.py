@@ -179,6 +179,14 @@ def test_decontamination(spark, texts):
     assert not any(r.contaminated for r in decontam.contamination(docs(spark, texts), items.limit(0)).collect())
 
 
+def test_decontamination_of_repeated_ids_in_parts(spark, texts):
+    rows = [(1, texts[5]), (1, texts[6]), (None, texts[7]), (None, texts[8]), (None, texts[5]), (2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, texts[5]), (1, texts[8]), (2, texts[9])], "item_id long, text string")
+    one, many = (sorted((r.doc_id or 0, *r[1:]) for r in decontam.contamination(d, items, part_words=n).collect()) for n in (4_000_000, 3))
+    assert one == many and len(one) == len(rows) and [r[-1] for r in one].count(True) == 3
+
+
 def test_kd_shards(spark, texts):
     rows = kdshard.sharded(docs(spark, texts * 6), 4).toPandas()
     assert len(rows) == 6 * len(texts)
