@@ -14,7 +14,8 @@ merged by exact double-precision distance, ties to the smaller id.
 
 Vectors that are null, zero, of another length than the most frequent one, or hold null or
 non-finite components take no part, neither as queries nor as candidates. Null
-ids take no part. Repeated rows of an id are candidates each. Other columns are ignored.
+ids take no part. Repeated rows of an id are candidates each; as queries, each distinct
+vector of an id has its own ranks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -212,8 +213,14 @@ def _load(r) -> dict:
     return {"x": x, "members": np.frombuffer(r.members, np.int64), "ends": np.frombuffer(r.ends, np.int64), "layers": layers, "entry": r.entry}
 
 
+def _others(members: np.ndarray, me: int, k: int) -> np.ndarray:
+    """The first k of a node's ids (in order) that are not ``me``."""
+    a, b = np.searchsorted(members, me), np.searchsorted(members, me, "right")
+    return np.concatenate([members[: min(a, k)], members[b : b + k - min(a, k)]])
+
+
 def nearest(vectors: DataFrame, query: Column, k: int = 10, shard_rows: int = 12_000, ef: int = EF, block: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each row where ``query`` (over vec_id) holds.
+    """query_id, rank, vec_id, score: the k nearest rows found for each row where ``query`` (over vec_id) holds, equal rows once.
 
     Each block of queries meets each shard's graph in one task; neither is ever
     broadcast, and per query and shard only k candidates move on.
@@ -223,7 +230,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, shard_rows: int = 12
     shards = max(1, -(-n // shard_rows))
     graphs = build_shards(rows, shards)
     groups = max(1, n // 100 // (block * 32))
-    asks = rows.where(query).withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asks = save(rows.where(query).distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    asks = asks.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     copies = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(key, left, right):
@@ -237,18 +245,16 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, shard_rows: int = 12
                 part = right.iloc[a : a + block]
                 q = _matrix(part.v)
                 found = search(g, q, min(ef, max(k + 1, len(g["x"]))))
-                for i, me in enumerate(part.vec_id.to_numpy()):
+                for i, (me, ask) in enumerate(zip(part.vec_id.to_numpy(), part.ask.to_numpy(), strict=True)):
                     nodes = found[i][found[i] >= 0]
                     d = np.sqrt(((wide[nodes] - q[i].astype(np.float64)) ** 2).sum(1))
-                    ids = [g["members"][begins[j] : begins[j] + k + 1] if g["ends"][j] - begins[j] > k + 1 else g["members"][begins[j] : g["ends"][j]] for j in nodes]
+                    ids = [_others(g["members"][begins[j] : g["ends"][j]], me, k) for j in nodes]
                     who = np.concatenate(ids) if ids else np.zeros(0, np.int64)
                     dd = np.repeat(d, [len(z) for z in ids])
-                    other = who != me
-                    who, dd = who[other], dd[other]
                     order = np.lexsort((who, dd))[:k]
-                    out.append(pd.DataFrame({"query_id": me, "vec_id": who[order], "score": dd[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                    out.append(pd.DataFrame({"ask": ask, "query_id": me, "vec_id": who[order], "score": dd[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"ask": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    got = copies.groupBy("shard", "group").cogroup(asks.groupBy("shard", "group")).applyInPandas(run, schema(query_id=LONG, vec_id=LONG, score=DBL))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    got = copies.groupBy("shard", "group").cogroup(asks.groupBy("shard", "group")).applyInPandas(run, schema(ask=LONG, query_id=LONG, vec_id=LONG, score=DBL))
+    rank = F.row_number().over(W.partitionBy("ask").orderBy("score", "vec_id"))
     return got.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -153,6 +153,12 @@ def test_hnsw_recall_ties_and_bad_vectors(spark):
     assert hit >= 0.9 * 90
 
 
+def test_hnsw_of_repeated_query_rows(spark):
+    rows = [(0, [1.0, 0.0])] * 14 + [(0, [0.0, 5.0])] + [(i, [1.0, 0.0]) for i in range(1, 13)] + [(20 + i, [0.0, 5.0 + i]) for i in range(12)]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == sorted([(i, i) for i in range(1, 11)] + list(enumerate([*range(20, 26), 1, 2, 3, 4], 1)))
+
+
 def test_near_duplicates(spark, texts):
     few = [t if t is None or len(t) < 20_000 else t[:3000] for t in texts]
 
