@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-BATCH_ROWS = "500"
+BATCH_BYTES = str(1 << 20)
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def lean(spark: SparkSession) -> None:
-    """Arrow batches of texts stay small where the session has not chosen a size of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Arrow batches end at 1 MiB, so memory does not depend on how long the texts of a batch are. A session's own bound stays."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,12 +46,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
-    The files survive the loss of any executor, unlike a local checkpoint.
+    The files survive the loss of any executor, unlike a local checkpoint. The
+    shuffle files of the job go when it has ended, as nothing reads them again.
     """
-    lean(df.sparkSession)
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    lean(spark)
+    path = scratch_path(spark, name)
+    with released(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Jobs in this block delete their shuffle files at their end."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
 
 
 def drop(saved: DataFrame) -> None:

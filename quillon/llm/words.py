@@ -40,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _pow(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        size = max(n, CHUNK_BYTES + 1)
         made = []
         for base in (_ODD, _INV):
             p = np.full(size, base, dtype=np.uint64)
@@ -95,16 +95,23 @@ class Words:
     def __init__(self, buf: np.ndarray, off: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = False):
         self.buf = LOWER[buf] if lower else buf
         self.off = off
-        flag = np.zeros(len(buf) + 2, dtype=bool)
-        flag[1:-1] = kind[self.buf]
-        inside = flag[1:-1]
-        begins = inside & ~flag[:-2]
-        ends = inside & ~flag[2:]
         cut = off[(off > 0) & (off < len(buf))]  # a word never spans two texts
-        begins[cut] = inside[cut]
-        ends[cut - 1] = inside[cut - 1]
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        starts, ends, last = [], [], False
+        for a in range(0, len(buf), CHUNK_BYTES):  # a long text, in chunks: flags and sums stay small
+            b = min(len(buf), a + CHUNK_BYTES)
+            flag = np.zeros(b - a + 2, dtype=bool)
+            flag[0], flag[1:-1], flag[-1] = last, kind[self.buf[a:b]], b < len(buf) and kind[self.buf[b]]
+            inside = flag[1:-1]
+            begins, stops = inside & ~flag[:-2], inside & ~flag[2:]
+            here = cut[np.searchsorted(cut, a) : np.searchsorted(cut, b)] - a
+            begins[here] = inside[here]
+            here = cut[np.searchsorted(cut, a + 1) : np.searchsorted(cut, b + 1)] - 1 - a
+            stops[here] = inside[here]
+            starts.append(np.flatnonzero(begins) + a)
+            ends.append(np.flatnonzero(stops) + (a + 1))
+            last = bool(inside[-1])
+        none = np.zeros(0, np.int64)
+        self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
         self.first = np.searchsorted(self.start, off)
 
     def __len__(self) -> int:
@@ -112,12 +119,31 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit fingerprints of the words' bytes."""
-        p, inv = _pow(len(self.buf) + 1)
-        sums = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * p[: len(self.buf)], out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * inv[self.start]
+        raw = np.zeros(len(self), dtype=np.uint64)
+        i = 0
+        while i < len(raw):
+            a = int(self.start[i])
+            j = int(np.searchsorted(self.end, a + CHUNK_BYTES, "right"))
+            if j <= i:  # a word longer than a chunk
+                raw[i] = self._long(a, int(self.end[i]))
+                i += 1
+                continue
+            b = int(self.end[j - 1])
+            p, inv = _pow(b - a + 1)
+            sums = np.zeros(b - a + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.buf[a:b]] * p[: b - a], out=sums[1:])
+            raw[i:j] = (sums[self.end[i:j] - a] - sums[self.start[i:j] - a]) * inv[self.start[i:j] - a]
+            i = j
         return mix(raw + (self.end - self.start).astype(np.uint64) * np.uint64(_INV))
 
+    def _long(self, a: int, b: int) -> np.uint64:
+        total = 0
+        for x in range(a, b, CHUNK_BYTES):
+            y = min(b, x + CHUNK_BYTES)
+            part = int((_BYTE[self.buf[x:y]] * _pow(y - x)[0][: y - x]).sum(dtype=np.uint64))
+            total += part * pow(_ODD, x - a, 1 << 64)
+        return np.uint64(total & ((1 << 64) - 1))
+
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of the n consecutive values from each position; the last n - 1 positions have none."""
