@@ -2,21 +2,29 @@
 
 A window is ``k`` consecutive words of one document, its minimiser the smallest
 fingerprint among its m-word grams (the leftmost, if equal). Consecutive windows
-with one minimiser are a super-k-mer: they travel as one packed string of words
-to the minimiser's bucket, where their windows are sorted and each but the
-earliest is marked. Equal windows have equal minimisers, so they always meet.
-
-Most minimisers occur once in the corpus and can hold no repeated window, so
-positions travel first (a few bytes each) and only super-k-mers whose minimiser repeats are packed.
-Minimisers with over ``hot`` super-k-mers (a passage that very many documents
-share) take another exact way: equal strings are reduced to the earliest one
-before any text moves, and just the windows of those are grouped.
-
-Words are compared by bytes. Null texts have no words; a document of fewer than
+with one minimiser are a super-k-mer, a string of words that goes to the
+minimiser's bucket, where its windows are sorted and each but the earliest is
+marked. Equal windows have equal minimisers, so they always meet.
+
+What travels first is small: for each super-k-mer its minimiser, a digest of its
+string and its place. Sorted by these, a bucket with one place holds no repeated
+window, and of places with equal strings all but the earliest are repeated as a
+whole. Only where a bucket has different strings do their earliest places send the
+packed strings themselves; windows whose fingerprints agree are then compared by
+their bytes.
+
+A minimiser that very many super-k-mers share (a frequent line in ever different
+surroundings) would be one huge bucket. Such minimisers are found on a sample (one
+document in ``SAMPLE``; at most ``HOT_SHARE`` of them can exist, which bounds the
+broadcast, and the sample decides nothing but the route): their windows go one by one, each to the bucket
+of its own 128-bit digest. Equal rows of a task are combined before the shuffle, so
+a passage that a third of all documents hold is a few rows a task.
+
+Null texts have no words; a document of fewer than
 k words has no window and stays whole; a null doc_id is before all others and rows that
 repeat a doc_id with one text are one document said twice, never removed against each other;
 rows of one doc_id with different texts are documents of their own, in the order of the texts' hashes.
-Other columns are ignored.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,20 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .base import BIN, INT, LONG, STR, save, schema
-from .words import NOT_SPACE, Words, grams, mix, text_bytes, text_slices
+from .words import NOT_SPACE, Words, grams, text_bytes, text_slices
 
-NO_ID = -(1 << 63)
+SAMPLE, HOT_SHARE, HOT_LEAST, HOLD = 16, 1024, 64, 200_000
 
 
-def _places(rb: pa.RecordBatch, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """(minimiser, row, first word, windows) of the slice's super-k-mers."""
-    buf, off = text_bytes(rb.column("text"))
-    w = Words(buf, off, NOT_SPACE)
+def _minimisers(w: Words, rows: int, k: int, m: int) -> tuple[np.ndarray, ...]:
+    """(minimiser, row, first word in the slice, windows) of the slice's super-k-mers."""
+    none = (np.zeros(0, np.int64),) * 4
     g = grams(w.hashes(), m)
     n = len(w) - k + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
-    doc = np.repeat(np.arange(rb.num_rows), np.diff(w.first))
+        return none
+    doc = np.repeat(np.arange(rows), np.diff(w.first))
     least = g[: len(g) - (k - m)].copy()  # sliding minimum, leftmost
     at = np.arange(len(least))
     for i in range(1, k - m + 1):
@@ -52,87 +59,158 @@ def _places(rb: pa.RecordBatch, k: int, m: int) -> tuple[np.ndarray, ...]:
         less = other < least
         least[less] = other[less]
         at[less] = np.flatnonzero(less) + i
-    whole = doc[:n] == doc[k - 1 :]
-    s = np.flatnonzero(whole)
+    s = np.flatnonzero(doc[:n] == doc[k - 1 :])
     if not len(s):
-        return (np.zeros(0, np.int64),) * 4
+        return none
     p = at[s]
     new = np.ones(len(s), bool)
     new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
     b = np.flatnonzero(new)
-    size = np.diff(np.append(b, len(s)))
-    row = doc[s[b]]
-    return g[p[b]].view(np.int64), row, s[b] - w.first[row], size
+    return g[p[b]].view(np.int64), doc[s[b]], s[b], np.diff(np.append(b, len(s)))
+
+
+def _line(rb: pa.RecordBatch, w: Words) -> tuple[bytes, np.ndarray]:
+    """The slice's words with one space after each, and where each word begins (one more at the end)."""
+    parts = [x.as_buffer().to_pybytes().split() for x in rb.column("text") if x.is_valid]
+    line = b" ".join([y for x in parts for y in x])
+    return line, np.concatenate([np.zeros(1, np.int64), np.cumsum(w.end - w.start + 1)])
+
+
+def _combined(key1, key2, did, start, size) -> tuple[np.ndarray, ...]:
+    """The rows with those that an earlier one equals marked by a negative size; a place said twice stays once."""
+    order = np.lexsort((start, did, key2, key1))
+    key1, key2, did, start, size = (x[order] for x in (key1, key2, did, start, size))
+    new = np.ones(len(key1), bool)
+    new[1:] = (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key1)), 0))
+    later = (did != did[first]) | (start != start[first])
+    keep = new | later
+    return tuple(x[keep] for x in (key1, key2, did, start, np.where(later, -size, size)))
+
+
+PLACE = dict(key1=LONG, key2=LONG, did=LONG, start=INT, size=INT)
+
+
+def _place_batch(key1, key2, did, start, size) -> pa.RecordBatch:
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(t, copy=False)) for x, t in zip((key1, key2, did, start, size), kinds, strict=True)], list(PLACE))
+
 
+def frequent_minimisers(docs: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimisers with over 1 / HOT_SHARE of the super-k-mers of one document in SAMPLE: fewer than HOT_SHARE of them."""
 
-def super_kmers(docs: DataFrame, k: int, m: int) -> DataFrame:
     def run(batches):
         for rb in text_slices(batches):
-            mh, row, start, size = _places(rb, k, m)
-            did = np.array(rb.column("did"))
-            yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(did[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["mh", "did", "start", "size"])
+            w = Words(*text_bytes(rb.column("text")), NOT_SPACE)
+            mh, n = np.unique(_minimisers(w, rb.num_rows, k, m)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(n)], ["mh", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("did", F.lit(5)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, schema(mh=LONG, n=LONG))
+    counts = save(some.groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1"), "sampled")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r.mh for r in counts.where(F.col("n") > max(HOT_LEAST, total / HOT_SHARE)).select("mh").collect()], np.int64))
 
-    return docs.mapInArrow(run, schema(mh=LONG, did=LONG, start=INT, size=INT))
 
+def places(docs: DataFrame, k: int, m: int, hot: np.ndarray) -> DataFrame:
+    """key1, key2, did, start, size of the super-k-mers (minimiser, digest of the string) and of frequent minimisers' windows (halves of a digest); a negative size: repeated."""
 
-def repeated(places: DataFrame) -> DataFrame:
-    """Places whose minimiser occurs at least twice: one pass over each sorted partition, one row of memory."""
+    def run(batches):
+        held = []
+        for rb in text_slices(batches):
+            w = Words(*text_bytes(rb.column("text")), NOT_SPACE)
+            mh, row, s, size = _minimisers(w, rb.num_rows, k, m)
+            if not len(mh):
+                continue
+            line, at = _line(rb, w)
+            did = np.array(rb.column("did"))
+            own = s - w.first[row]
+            many = np.isin(mh, hot)
+            one = np.flatnonzero(~many)
+            digest = xxhash.xxh3_64_intdigest
+            pk = [digest(line[a:b]) for a, b in zip(at[s[one]].tolist(), (at[s[one] + size[one] + k - 1] - 1).tolist(), strict=True)]
+            held.append((mh[one], np.array(pk, np.uint64).view(np.int64), did[row[one]], own[one], size[one]))
+            if many.any():
+                z = np.flatnonzero(many)
+                n = size[z]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = np.repeat(s[z], n) + step
+                raw = b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(at[first].tolist(), (at[first + k] - 1).tolist(), strict=True)])
+                keys = np.frombuffer(raw, np.int64).reshape(-1, 2)
+                held.append((keys[:, 0], keys[:, 1], np.repeat(did[row[z]], n), np.repeat(own[z], n) + step, np.ones(len(first), np.int64)))
+            if sum(len(x[0]) for x in held) >= HOLD:
+                yield _place_batch(*_combined(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                held = []
+        if held:
+            yield _place_batch(*_combined(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return docs.mapInArrow(run, schema(**PLACE))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """mh, did, start, size: repeated strings (mh null), and the earliest places of strings that share a minimiser with other strings."""
 
     def run(batches):
-        held, held_kept, last = None, False, None
+        held, sent, mixed = None, False, False  # the last string's first place; whether it went out; whether its bucket has more strings
         for rb in batches:
             if not rb.num_rows:
                 continue
-            t = rb if held is None else pa.Table.from_batches([held, rb]).combine_chunks().to_batches()[0]
-            mh = np.array(t.column("mh"))
-            same = mh[1:] == mh[:-1]
-            keep = np.zeros(len(mh), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= held_kept
-            last = bool(keep[-1])
-            keep_now = keep.copy()
-            keep_now[-1] = False
-            if keep_now.any():
-                yield t.filter(pa.array(keep_now))
-            held, held_kept = t.slice(t.num_rows - 1), last
-        if held is not None and held_kept:
-            yield held
-
-    return places.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, places.schema)
-
-
-def pack(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """The places with their words, joined by single spaces, and a 128-bit digest of them."""
-    lists = places.groupBy("did").agg(F.collect_list("mh").alias("mhs"), F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
+            key1, key2, did, start, size = (np.array(c) for c in rb.columns)
+            known = size < 0
+            out = [(np.zeros(int(known.sum()), np.int64), np.zeros(int(known.sum()), bool), did[known], start[known], -size[known])]
+            cols = tuple(x[~known] for x in (key1, key2, did, start, size))
+            carried = held is not None
+            if carried:
+                cols = tuple(np.concatenate([h, x]) for h, x in zip(held, cols, strict=True))
+            key1, key2, did, start, size = cols
+            if len(key1):
+                new1 = np.ones(len(key1), bool)
+                new1[1:] = key1[1:] != key1[:-1]
+                new2 = new1.copy()
+                new2[1:] |= key2[1:] != key2[:-1]
+                first = np.maximum.accumulate(np.where(new2, np.arange(len(key1)), 0))
+                later = (did != did[first]) | (start != start[first])
+                out.append((np.zeros(int(later.sum()), np.int64), np.zeros(int(later.sum()), bool), did[later], start[later], size[later]))
+                group = np.cumsum(new1) - 1
+                many = np.bincount(group, new2) > 1
+                many[0] |= carried and mixed
+                go = new2 & many[group]
+                last = int(first[-1])
+                last_sent = bool(go[last]) or (last == 0 and carried and sent)
+                if carried and sent:
+                    go[0] = False
+                out.append((key1[go], np.ones(int(go.sum()), bool), did[go], start[go], size[go]))
+                held, sent, mixed = tuple(x[last : last + 1] for x in cols), last_sent, bool(many[-1])
+            mh, some, did, start, size = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(mh, mask=~some), pa.array(did), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["mh", "did", "start", "size"])
+
+    return rows.repartition("key1").sortWithinPartitions("key1", "key2", "did", "start").mapInArrow(run, schema(mh=LONG, did=LONG, start=INT, size=INT))
+
+
+def pack(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The places with their words, joined by single spaces."""
+    lists = found.groupBy("did").agg(F.collect_list("mh").alias("mhs"), F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
 
     def run(batches):
         for rb in text_slices(batches):
-            out_mh, out_did, out_start, out_size, out_pk, out_text = [], [], [], [], [], []
+            out_mh, out_did, out_start, out_text = [], [], [], []
             mhs, starts, sizes = rb.column("mhs"), rb.column("starts"), rb.column("sizes")
             for i in range(rb.num_rows):
                 words = rb.column("text")[i].as_buffer().to_pybytes().split()
                 line = b" ".join(words)
                 at = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
                 start, size = np.array(starts[i].values), np.array(sizes[i].values)
-                got = [line[a:b] for a, b in zip(at[start].tolist(), (at[start + size + k - 1] - 1).tolist(), strict=True)]
-                out_text += got
-                out_pk += [xxhash.xxh3_128_digest(x) for x in got]
+                out_text += [line[a:b] for a, b in zip(at[start].tolist(), (at[start + size + k - 1] - 1).tolist(), strict=True)]
                 out_mh.append(np.array(mhs[i].values))
                 out_start.append(start)
-                out_size.append(size)
                 out_did.append(np.full(len(start), rb.column("did")[i].as_py()))
             if out_mh:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x)) for x in (out_mh, out_did, out_start, out_size)), pa.array(out_pk, pa.binary()), pa.array(out_text, pa.binary())],
-                    ["mh", "did", "start", "size", "pk", "packed"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (out_mh, out_did, out_start)), pa.array(out_text, pa.binary())], ["mh", "did", "start", "packed"])
 
-    return docs.join(lists, "did").select("did", "text", "mhs", "starts", "sizes").mapInArrow(run, schema(mh=LONG, did=LONG, start=INT, size=INT, pk=BIN, packed=BIN))
+    return docs.join(lists, "did").select("did", "text", "mhs", "starts", "sizes").mapInArrow(run, schema(mh=LONG, did=LONG, start=INT, packed=BIN))
 
 
 def _spans(did: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows as spans of words."""
+    """Runs of overlapping windows (did, first word) as spans of words."""
     order = np.lexsort((start, did))
     did, start = did[order], start[order]
     new = np.ones(len(did), bool)
@@ -142,123 +220,96 @@ def _spans(did: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _later(texts: list[bytes], did: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (did, start) of distinct packed strings that an earlier one of these equals."""
+    """Windows (did, first word) of packed strings that an earlier one of these equals, word for word."""
     off = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-    w = Words(np.frombuffer(b"".join(texts), np.uint8), off, NOT_SPACE)
-    h = w.hashes()
-    one, two = grams(h, k), grams(mix(h ^ np.uint64(0x5851F42D4C957F2D)), k)
+    buf = b"".join(texts)
+    w = Words(np.frombuffer(buf, np.uint8), off, NOT_SPACE)
+    g = grams(w.hashes(), k)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    n = len(h) - k + 1
+    n = len(w) - k + 1
     at = np.flatnonzero(owner[:n] == owner[k - 1 :])
-    one, two, own = one[at], two[at], owner[at]
+    own = owner[at]
     d, s = did[own], start[own] + (at - w.first[own])
-    order = np.lexsort((s, d, two, one))
-    one, two, d, s = one[order], two[order], d[order], s[order]
-    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-    later = np.zeros(len(one), bool)
-    later[1:] = same
+    order = np.lexsort((s, d, g[at]))
+    at, d, s = at[order], d[order], s[order]
+    key = g[at]
+    first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+    a, b = w.start[at], w.end[at + k - 1]
+    later = np.zeros(len(at), bool)
+    alike = np.flatnonzero(first != np.arange(len(at)))
+    same = [buf[p:q] == buf[x:y] for p, q, x, y in zip(a[alike].tolist(), b[alike].tolist(), a[first[alike]].tolist(), b[first[alike]].tolist(), strict=True)]
+    later[alike] = same
+    for f in np.unique(first[alike[~np.array(same, bool)]]).tolist():  # one fingerprint, different words: told apart by the words
+        seen: dict[bytes, int] = {}
+        for j in np.flatnonzero(first == f).tolist():
+            earliest = seen.setdefault(buf[a[j] : b[j]], j)
+            later[j], first[j] = earliest != j, earliest
     # one document's very place, said twice, is no repetition of itself
-    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(one))))
     later &= (d != d[first]) | (s != s[first])
     return d[later], s[later]
 
 
-def mark_cold(packed: DataFrame, k: int, hold: int = 4000) -> DataFrame:
-    """Spans (did, a, b) of words in windows with an earlier equal one; all of a minimiser's strings meet here."""
+def marked(packed: DataFrame, k: int, hold: int = 4000) -> DataFrame:
+    """Spans (did, a, b) of words in windows with an earlier equal one; all of a minimiser's different strings meet here."""
 
     def run(batches):
-        texts, did, start, last_mh, last_pk, first = [], [], [], None, None, None
-        out_d, out_a, out_b = [], [], []
+        texts, did, start, last = [], [], [], None
 
         def flush():
-            nonlocal texts, did, start, out_d, out_a, out_b
-            parts = [(np.array(out_d, np.int64), np.array(out_a, np.int64), np.array(out_b, np.int64))]
-            if texts:
-                parts.append(_spans(*_later(texts, np.array(did, np.int64), np.array(start, np.int64), k), k))
-            texts, did, start, out_d, out_a, out_b = [], [], [], [], [], []
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["did", "a", "b"])
+            nonlocal texts, did, start
+            got = _spans(*_later(texts, np.array(did, np.int64), np.array(start, np.int64), k), k)
+            texts, did, start = [], [], []
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["did", "a", "b"])
 
         for rb in batches:
-            for mh, d, s, size, pk, text in zip(*(rb.column(c).to_pylist() for c in ("mh", "did", "start", "size", "pk", "packed")), strict=True):
-                if mh != last_mh and len(texts) + len(out_d) >= hold:
+            for mh, d, s, text in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if mh != last and len(texts) >= hold:
                     yield flush()
-                if pk == last_pk and mh == last_mh:
-                    if (d, s) != first:
-                        out_d.append(d)
-                        out_a.append(s)
-                        out_b.append(s + size + k - 1)
-                    continue
-                last_mh, last_pk, first = mh, pk, (d, s)
+                last = mh
                 texts.append(text)
                 did.append(d)
                 start.append(s)
-        if texts or out_d:
+        if texts:
             yield flush()
 
-    return packed.repartition("mh").sortWithinPartitions("mh", "pk", "did", "start").mapInArrow(run, schema(did=LONG, a=LONG, b=LONG))
-
+    return packed.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, schema(did=LONG, a=LONG, b=LONG))
 
-def mark_hot(packed: DataFrame, k: int) -> DataFrame:
-    """The same for minimisers with very many strings: equal strings are combined before the shuffle, then single windows."""
-    packed = save(packed, "hot")
-    first = packed.groupBy("pk").agg(F.min(F.struct("did", "start")).alias("m"))
-    later = packed.drop("packed").join(first, "pk").where("did <> m.did or start <> m.start").select("did", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("size") + (k - 1)).cast("long").alias("b"))
-    firsts = packed.join(first, "pk").where("did = m.did and start = m.start").select("did", "start", "packed")
 
-    def windows(batches):
-        for rb in batches:
-            did, start, key = [], [], []
-            for d, s, text in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                words = text.split()
-                for i in range(len(words) - k + 1):
-                    did.append(d)
-                    start.append(s + i)
-                    key.append(xxhash.xxh3_128_digest(b" ".join(words[i : i + k])))
-            yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.binary())], ["did", "start", "key"])
-
-    single = save(firsts.mapInArrow(windows, schema(did=LONG, start=INT, key=BIN)), "windows")
-    low = single.groupBy("key").agg(F.min(F.struct("did", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    more = single.join(low, "key").where("did <> m.did or start <> m.start").select("did", F.col("start").cast("long").alias("a"), (F.col("start") + k).cast("long").alias("b"))
-    return later.unionAll(more)
-
-
-def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8, hot: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8) -> DataFrame:
     """Spans (did, a, b) of word positions covered by windows whose words also start earlier."""
-    places = save(repeated(super_kmers(docs, k, m)), "places")
-    many = places.groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mh")
-    many = save(many, "hot-keys")
-    if many.isEmpty():
-        return mark_cold(pack(docs, places, k), k)
-    cold = mark_cold(pack(docs, places.join(many, "mh", "left_anti"), k), k)
-    return cold.unionAll(mark_hot(pack(docs, places.join(many, "mh"), k), k))
+    found = save(judged(places(docs, k, m, frequent_minimisers(docs, k, m))), "judged")
+    whole = found.where("mh is null").select("did", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("size") + (k - 1)).cast("long").alias("b"))
+    return whole.unionAll(save(marked(pack(docs, found.where("mh is not null"), k), k), "marked"))
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
+    """did, text, no_id: null ids have the smallest long, and say so (that long is also an id)."""
+    i = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(i, F.expr("-9223372036854775807L - 1L")).alias("did"), F.col("text").cast("string").alias("text"), i.isNull().alias("no_id"))
 
 
 def told_apart(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(did, text) in which a did names one text, and the (rank, did) behind new ids, if any were needed.
+    """(did, text) in which a did names one text, and the (rank, doc_id) behind new ids, if any were needed.
 
-    New ids are ranks by (did, hash of the text): sorted ranges are numbered from the counts of those before them.
+    New ids are ranks by (no id first, did, hash of the text): sorted ranges are numbered from the counts of those before them.
     """
     mark = F.xxhash64("text")
-    if own.groupBy("did").agg((F.min(mark) < F.max(mark)).alias("differ")).where("differ").isEmpty():
-        return own, None
-    own = own.withColumn("mark", mark)
-    keys = save(own.select("did", "mark").distinct().repartitionByRange("did", "mark").withColumn("part", F.spark_partition_id()), "keys")
+    told = own.groupBy("did").agg((F.min(mark) < F.max(mark)).alias("differ"), F.max("no_id").alias("none"))
+    if told.where("differ or none").isEmpty():
+        return own.select("did", "text"), None
+    own = own.withColumn("mark", mark).withColumn("first", ~F.col("no_id"))
+    keys = save(own.select("first", "did", "mark").distinct().repartitionByRange("first", "did", "mark").withColumn("part", F.spark_partition_id()), "keys")
     counts = keys.groupBy("part").agg(F.count("*").alias("n"))
     ahead = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rank = F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy("did", "mark"))
-    ranks = save(keys.join(ahead, "part").select("did", "mark", rank.cast("long").alias("rank")), "ranks")
-    return own.join(ranks, ["did", "mark"]).select(F.col("rank").alias("did"), "text"), ranks.select("rank", "did")
+    rank = F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy("first", "did", "mark"))
+    ranks = save(keys.join(ahead, "part").select("first", "did", "mark", rank.cast("long").alias("rank")), "ranks")
+    return own.join(ranks, ["first", "did", "mark"]).select(F.col("rank").alias("did"), "text"), ranks.select("rank", F.when(F.col("first"), F.col("did")).alias("doc_id"))
 
 
-def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, hot: int = 20_000, with_text: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every document."""
     own, ranks = told_apart(with_key(docs))
-    spans = save(repeated_spans(own, k, m, hot), "spans")
-    lists = spans.groupBy("did").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    lists = repeated_spans(own, k, m).groupBy("did").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     def run(batches):
         for rb in text_slices(batches):
@@ -281,16 +332,14 @@ def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, hot: int = 20_000,
                 digest.append(hashlib.sha256(line).hexdigest())
                 if with_text:
                     kept.append(line)
-            did = np.array(rb.column("did"))
-            cols = [pa.array(did, mask=did == NO_ID), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)]
+            cols = [rb.column("did"), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 cols, names = [*cols, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = dict(doc_id=LONG, n_words=LONG, n_removed=LONG, kept_sha256=STR) | ({"kept_text": STR} if with_text else {})
-    out = own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds))
+    out = save(own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds)), "kept")
     if ranks is None:
         return out
-    back = out.join(ranks, F.col("doc_id") == F.col("rank")).withColumn("doc_id", F.expr(f"nullif(did, {NO_ID + 1} - 1)"))
-    return back.select(*kinds)
+    return out.withColumnRenamed("doc_id", "rank").join(ranks, "rank").select(*kinds)

@@ -122,19 +122,45 @@ def brute_substring(texts, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_substring(spark, texts, hot):
+@pytest.mark.parametrize("least", [64, 0])
+def test_substring(spark, texts, least, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_LEAST", least)  # 0: minimisers over the mean take the windows' way
+    monkeypatch.setattr(substring, "SAMPLE", 1 if least == 0 else substring.SAMPLE)
     few = [t if t is None or len(t) < 20_000 else t[:3000] for t in texts]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated(docs(spark, few), k=20, hot=hot).collect()}
+    few += [f"{few[i]} {few[2]} {few[i + 1]}" for i in range(6)]
+    d = docs(spark, few)
+    if least == 0:
+        assert len(substring.frequent_minimisers(substring.with_key(d), 20, 8))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated(d, k=20).collect()}
     assert got == brute_substring(few, 20)
+    assert substring.remove_repeated(d.limit(0)).count() == 0
+
+
+def test_windows_of_one_fingerprint_are_told_apart_by_their_words(monkeypatch):
+    monkeypatch.setattr(substring, "grams", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    d, s = substring._later([b"a b c", b"x b c", b"a b c d", b"b c d"], np.array([1, 2, 3, 4]), np.array([0, 5, 7, 9]), 2)
+    assert sorted(zip(d.tolist(), s.tolist(), strict=True)) == [(2, 6), (3, 7), (3, 8), (4, 9), (4, 10)]
+
+
+def test_a_bucket_over_many_batches(spark):
+    rows = [(1, 5, 10, 0, 2), (1, 5, 11, 0, 2), (1, 6, 9, 4, 1), (1, 6, 12, 4, 1), (1, 7, 13, 0, 3), (2, 1, 1, 0, 1), (3, 1, 1, 0, 1), (3, 1, 1, 0, 1), (4, 1, 5, 0, 1), (4, 2, 6, 0, 1), (5, 0, 7, 7, -2)]
+    d = spark.createDataFrame(rows, "key1 long, key2 long, did long, start int, size int").coalesce(1)
+    want = sorted([(None, 11, 0, 2), (None, 12, 4, 1), (1, 10, 0, 2), (1, 9, 4, 1), (1, 13, 0, 3), (4, 5, 0, 1), (4, 6, 0, 1), (None, 7, 7, 2)], key=str)
+    for size in ("1", "2", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, substring.judged(d).collect()), key=str) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_substring_of_repeated_ids(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
-    rows = [(1, one), (1, one), (1, two), (1, None), (None, "z " + two), (2, one + " " + two)]
+    low = -(1 << 63)
+    rows = [(1, one), (1, one), (1, two), (1, None), (None, "z " + two), (2, one + " " + two), (low, "y " + two)]
     d = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, did int, mark string")
     got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in substring.remove_repeated(d).collect())
-    assert got == [(0, 31, 0), (1, 0, 0), (1, 30, 0), (1, 30, 0), (1, 30, 30), (2, 60, 60)]
+    assert got == [(low, 31, 30), (0, 31, 0), (1, 0, 0), (1, 30, 0), (1, 30, 0), (1, 30, 30), (2, 60, 60)]
 
 
 def test_hnsw_recall_ties_and_bad_vectors(spark):
