@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .base import BIN, INT, LONG, STR, save, schema
-from .words import NOT_SPACE, Words, grams, text_bytes, text_slices
+from .words import NOT_SPACE, Words, grams, mix, text_bytes, text_slices
 
 SAMPLE, HOT_SHARE, HOT_LEAST, HOLD = 16, 1024, 64, 200_000
 
@@ -77,7 +77,7 @@ def _line(rb: pa.RecordBatch, w: Words) -> tuple[bytes, np.ndarray]:
 
 
 def _combined(key1, key2, did, start, size) -> tuple[np.ndarray, ...]:
-    """The rows with those that an earlier one equals marked by a negative size; a place said twice stays once."""
+    """The rows with those that an earlier one equals marked by a negative size and dealt anew; a place said twice stays once."""
     order = np.lexsort((start, did, key2, key1))
     key1, key2, did, start, size = (x[order] for x in (key1, key2, did, start, size))
     new = np.ones(len(key1), bool)
@@ -85,6 +85,7 @@ def _combined(key1, key2, did, start, size) -> tuple[np.ndarray, ...]:
     first = np.maximum.accumulate(np.where(new, np.arange(len(key1)), 0))
     later = (did != did[first]) | (start != start[first])
     keep = new | later
+    key1 = np.where(later, mix((did + start).view(np.uint64)).view(np.int64), key1)  # they need no bucket
     return tuple(x[keep] for x in (key1, key2, did, start, np.where(later, -size, size)))
 
 
