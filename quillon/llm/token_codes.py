@@ -126,7 +126,7 @@ class PieceEncoder:
     between two other characters, nor between a letter or digit and a mark after
     it, so a text is encoded piece by piece: the library encodes each piece that is new,
     known ones are looked up for a whole slice at once, by 64-bit fingerprints.
-    The first ``keep`` pieces that a worker meets (frequent ones come early) stay
+    A text that spells out an added token (which the library recognises anywhere) is encoded in one call. The first ``keep`` pieces that a worker meets (frequent ones come early) stay
     known. A text with any other white space between or around words is encoded in one call.
     """
 
@@ -137,7 +137,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.keep, self.keep_cores = keep, keep_cores
         self.cores: dict[str, bytes] = {}
@@ -196,6 +196,12 @@ class PieceEncoder:
         some = count > 0
         bad[some] |= w.end[w.first[1:][some] - 1] != off[1:][some]
         bad |= ~some & (np.diff(off) > 0)
+        raw = buf.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                bad[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
         h = mix(w.hashes() ^ _LEADS[lead])
         slot = (h >> np.uint64(20)).astype(np.int64) % len(self.slots)
         entry = self.slots[slot].astype(np.int64)
@@ -205,7 +211,6 @@ class PieceEncoder:
         if len(miss):
             keys, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             at = miss[first]
-            raw = buf.tobytes()
             words = [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
             kinds = lead[at].tolist()
             got = self.pieces(words, [" " if k == 2 else "" for k in kinds])

@@ -28,28 +28,35 @@ def texts():
     return [*out, *near, base, base, None, "", "   \n ", "one", "One", "a a a a a a " * 30, "Long " + "z q " * 20000, out[3] + " " + out[4]]
 
 
-def test_codes_random_access_and_round_trip(spark, texts, tmp_path):
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())  # as the library gives it
+
+
+def test_codes_random_access_and_round_trip(spark, texts, tmp_path, library):
+    texts = [*texts, "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c <|endoftext|", "hello world <|endoftext|>\n", "plain hello world"]
     ids = np.random.default_rng(1).integers(0, 1 << 31, 3000).astype(np.uint32) >> np.random.default_rng(2).integers(0, 31, 3000).astype(np.uint32)
     c = token_codes.Codes(token_codes.to_blob([1, None], [ids[:1000], ids[1000:]]))
     assert (c.tokens() == ids).all() and (c.document(1) == ids[1000:]).all() and all(c.token(i) == ids[i] for i in range(0, 3000, 7)) and (c.tokens(500, 1500) == ids[500:1500]).all()
     folder, files = token_codes.write_codes(docs(spark, texts), tokenizer_path(), 2, shard_bytes=20_000, file_tokens=500)
-    tok = token_codes.PieceEncoder(tokenizer_path()).tok
     at, want = 0, {}
     for i, t in enumerate(texts):
-        x = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        x = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want[i], at = (at, len(x), zlib.crc32(x.tobytes())), at + len(x)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_codes.read_digests(spark, folder, files).collect()}
     assert got == want
     assert token_codes.write_codes(docs(spark, ["x"]).limit(0), tokenizer_path(), 2)[1] == []
 
 
-def test_codes_of_a_slice_without_new_pieces():
+def test_codes_of_a_slice_without_new_pieces(library):
     enc = token_codes.PieceEncoder(tokenizer_path())
     for texts in (["a b", ""], ["a b", "", " \n"], ["", "  "], [" \n"]):
         raw = [t.encode() for t in texts]
         off = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in raw])])
         ids, n = enc.encode(np.frombuffer(b"".join(raw), np.uint8), off, 2)
-        want = [[*enc.tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
         assert ids.dtype == enc.kind and ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
 
 
@@ -78,7 +85,7 @@ def test_lm_base_counts_are_exact(spark, texts):
 def test_lm_learns_from_every_training_document(spark, texts):
     d, train = docs(spark, [*texts, *(f"{w} " * 60_000 for w in ("deep", "long", "wide"))]), crc32_of_id() % 10 != 0
     every = [lmscore._lower(r.text or "").split() for r in d.where(train).collect()]
-    got = [lmscore.fit(d, train, tokenizer_path(), sample_bytes=b, frequent=f, steps=5)[0] for b, f in ((1, 50), (2_000_000, 300_000))]
+    got = [lmscore.fit(d, train, tokenizer_path(), sample_bytes=b, frequent=f, steps=5)[0] for b, f in ((1, 50), (2_000_000, 500_000))]
     sub = lmscore.Subwords(tokenizer_path())
     streams = [np.concatenate([*sub(w), [sub.end]]).astype(int) for w in every]
     n = np.bincount(np.concatenate(streams), minlength=sub.end + 1)
@@ -88,10 +95,36 @@ def test_lm_learns_from_every_training_document(spark, texts):
         weight = n + 0.05
         assert np.allclose(m.share, np.log(weight / np.bincount(m.kind, weight, minlength=lmscore.CLASSES)[m.kind]))
         assert m.mass.sum() == sum(len(w) + 1 for w in every)
-        assert m.windows == sum(-(-len(s) // lmscore.S) for s, h in zip(streams, d.where(train).select(lmscore._held().alias("h")).collect(), strict=True) if not h.h)
+        all_windows = sum(-(-len(s) // lmscore.S) for s, h in zip(streams, d.where(train).select(lmscore._held().alias("h")).collect(), strict=True) if not h.h)
+        assert 0 <= lmscore.STRIDE * m.windows - all_windows < lmscore.STRIDE * 8  # one in STRIDE of each task
+        held = [len(s) for s in streams]
+        assert m.windows > 0.9 * sum(-(-k // lmscore.S) for k in held if k > 60_000) / lmscore.STRIDE
     assert abs(got[0].weight - got[1].weight) < 0.05
 
 
+def test_lm_probabilities_add_up_and_each_symbol_is_scored_once(spark, texts):
+    d, train = docs(spark, texts), crc32_of_id() % 10 != 0
+    m, _ = lmscore.fit(d, train, tokenizer_path(), steps=20)
+    r = np.random.default_rng(7)
+    n_doc = np.array([1, 39, 40, 41, 200, 3])
+    sym = r.choice(np.flatnonzero(m.counts), n_doc.sum())
+    doc, at = lmscore.windows(n_doc)
+    rows, place = lmscore.frames(sym, n_doc, doc, at)
+    ids, target, ok = m.inputs(rows)
+    assert sorted(place[ok].tolist()) == list(range(len(sym))) and (m.kind[sym[place[ok]]] == target[ok]).all()
+    total = sum(np.exp(m.net.log_class(ids, np.full_like(target, c)))[ok] for c in range(lmscore.CLASSES))
+    assert np.allclose(total, 1, atol=1e-4)
+    seen = np.bincount(m.kind, minlength=lmscore.CLASSES) > 0
+    assert np.allclose(np.bincount(m.kind, np.exp(m.share), minlength=lmscore.CLASSES)[seen], 1)
+    # what comes later, or in another document, changes nothing
+    a, b = m.log_symbols(sym, n_doc), m.log_symbols(np.concatenate([sym[:120], r.permutation(sym[120:])]), n_doc)
+    assert np.allclose(a[:120], b[:120], atol=1e-5)
+    # and the lean pass gives what the pass with gradients gives
+    y = m.net.forward(ids)[-1]
+    y = y - np.log(np.exp(y).sum(-1, keepdims=True))
+    assert np.allclose(np.take_along_axis(y, target[:, :, None], 2)[:, :, 0][ok], m.net.log_class(ids, target)[ok], atol=1e-3)
+
+
 def test_chat_round_trip():
     for t in ("", "a", "\\", "###", "####", "</turn>", "\\### Assistant: </turn> ok", "\n### User: x</turn>\n", "</turn", "\\\\n<#"):
         for role in ("user", "assistant", "", "Assistant", "a: b", "x\n#"):
