@@ -268,6 +268,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop this process's encoders and the pieces that they keep."""
+    _encoders.clear()
+
+
 # ---------------------------------------------------------------- the operator
 def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, shard_bytes: int = 8 << 20, file_tokens: int = 4 << 20) -> tuple[str, list]:
     """Encode ``docs(doc_id, text)`` and write the ids as .dac files in ascending doc_id order.
