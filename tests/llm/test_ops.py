@@ -87,7 +87,7 @@ def test_lm_learns_from_every_training_document(spark, texts):
     every = [lmscore._lower(r.text or "").split() for r in d.where(train).collect()]
     got = [lmscore.fit(d, train, tokenizer_path(), sample_bytes=b, frequent=f, steps=5)[0] for b, f in ((1, 50), (2_000_000, 500_000))]
     sub = lmscore.Subwords(tokenizer_path())
-    streams = [np.concatenate([*sub(w), [sub.end]]).astype(int) for w in every]
+    streams = [np.concatenate([sub.flat(w)[0], [sub.end]]).astype(int) for w in every]
     n = np.bincount(np.concatenate(streams), minlength=sub.end + 1)
     learns = [len(lmscore._lower(r.text or "").split()) for r in d.where(train).where(~lmscore._held()).collect()]
     assert len(learns) < len(every) and max(learns) == 60_000
@@ -102,6 +102,15 @@ def test_lm_learns_from_every_training_document(spark, texts):
     assert abs(got[0].weight - got[1].weight) < 0.05
 
 
+def test_subwords_of_many_words_are_those_of_each(library):
+    words = ["a", "hello", "x<|endoftext|>y", "<|endoftext|>", "\u00a0b", "c\u00a0", "\u3000", "don't", "12ab", "...", "é", "日本語", "a\u2003b", "Ġ", "\u0120x", "tail."] * 30
+    sub = lmscore.Subwords(tokenizer_path())
+    flat, size = sub.flat(words, together=7)
+    want = [library.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert size.tolist() == [len(x) for x in want] and (flat // 2).tolist() == sum(want, []) and (flat % 2).sum() == len(words)
+    assert [len(x) for x in sub.flat([])] == [0, 0]
+
+
 def test_lm_probabilities_add_up_and_each_symbol_is_scored_once(spark, texts):
     d, train = docs(spark, texts), crc32_of_id() % 10 != 0
     m, _ = lmscore.fit(d, train, tokenizer_path(), steps=20)
