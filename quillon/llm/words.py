@@ -6,6 +6,8 @@ flags says which bytes those are, so multi-byte characters never split.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,7 @@ def _pow(n: int) -> list[np.ndarray]:
 
 def text_slices(batches, col: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of at most ``limit`` bytes of ``col`` (a longer text is a slice of its own)."""
+    reuse_memory()
     for rb in batches:
         if not rb.num_rows:
             continue
@@ -70,15 +73,26 @@ def text_slices(batches, col: str = "text", limit: int = CHUNK_BYTES) -> Iterato
     give_back()
 
 
+@functools.cache
+def reuse_memory():
+    """The C library, set to reuse the memory of freed arrays within a task in place of mapping each array anew (page faults cost as much as the arithmetic)."""
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        lib.mallopt(_M_MMAP_THRESHOLD, 256 << 20)
+        lib.mallopt(_M_TRIM_THRESHOLD, 256 << 20)
+    except (OSError, AttributeError):  # another C library
+        return None
+    return lib
+
+
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+
+
 def give_back() -> None:
     """At the end of a task, freed memory goes back to the system: a reused worker holds little while idle."""
-    import ctypes
-
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if lib := reuse_memory():
+        lib.malloc_trim(0)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
