@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import INT, LONG, STR, schema
+from .base import LONG, STR, schema
 
 OPEN, CLOSE, SEP, LF = "### ", "</turn>", ": ", "\n"
 _NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
@@ -48,26 +48,23 @@ class GrammarError(ValueError):
     pass
 
 
-def _until(s: str, at: int, stop: str, bad: str | None) -> tuple[str, int]:
-    """Unescaped text from ``at`` to the next unescaped ``stop``, and the place after it."""
+#: an escaped character, the end, or what may not stand there
+_ROLE_END = re.compile(r"\\([\s\S])|(: )")
+_TEXT_END = re.compile(r"\\([\s\S])|(</turn>)|(###)")
+
+
+def _until(s: str, at: int, marks: re.Pattern) -> tuple[str, int]:
+    """Unescaped text from ``at`` to the next end of ``marks``, and the place after it: one pass, whatever is escaped."""
     out = []
-    while True:
-        end = s.find(stop, at)
-        slash = s.find("\\", at)
-        hole = s.find(bad, at) if bad else -1
-        if end < 0:
-            raise GrammarError(f"no {stop!r}")
-        if 0 <= slash < end and not 0 <= hole < slash:
-            if slash + 1 >= len(s):
-                raise GrammarError("an escape at the end")
-            out.append(s[at:slash])
-            out.append(s[slash + 1])
-            at = slash + 2
-            continue
-        if 0 <= hole < end:
-            raise GrammarError(f"{bad!r} inside")
-        out.append(s[at:end])
-        return "".join(out), end + len(stop)
+    for m in marks.finditer(s, at):
+        out.append(s[at : m.start()])
+        at = m.end()
+        if m.lastindex == 2:
+            return "".join(out), at
+        if m.lastindex == 3:
+            raise GrammarError(f"{m[3]!r} inside")
+        out.append(m[1])
+    raise GrammarError("a part without its end")
 
 
 def parse(s: str) -> Iterator[tuple[str, str]]:
@@ -77,10 +74,10 @@ def parse(s: str) -> Iterator[tuple[str, str]]:
         if not s.startswith(OPEN, at):
             raise GrammarError(f"no turn at {at}")
         begin = at + len(OPEN)
-        role, at = _until(s, begin, SEP, None)
+        role, at = _until(s, begin, _ROLE_END)
         raw = s[begin : at - len(SEP)]
         role = _ROLES.get(raw, role)
-        text, at = _until(s, at, CLOSE, "###")
+        text, at = _until(s, at, _TEXT_END)
         if not s.startswith(LF, at):
             raise GrammarError(f"no line feed at {at}")
         at += len(LF)
@@ -149,6 +146,3 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield batch([done()])
 
     return formatted.mapInArrow(run, schema(conv_id=LONG, n_turns=LONG, turns_sha256=STR, loss_chars=LONG, loss_sha256=STR, formatted_chars=LONG))
-
-
-__all__ = ["GrammarError", "format_turns", "parse", "read_back", "render_turn", "INT"]
