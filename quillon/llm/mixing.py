@@ -9,7 +9,7 @@ pass and the id, and the last pass ends where the source's budget of tokens does
 
 Tokens are words ([^\\x20\\x09-\\x0D]+). A null source is the source ''; null texts
 have no tokens and take no budget; a source without tokens is read once.
-Repeated rows are documents of their own and ties of the hash go by doc_id. A
+Repeated rows are documents of their own and ties of the hash go by doc_id and then length. A
 document is placed by the tokens before it in its pass, which need no sort of a
 whole source: sums of hash buckets first, then ranks inside buckets of about
 ``bucket_rows`` documents, so a hot source is spread over many tasks.
@@ -107,7 +107,7 @@ def realise(weighed: DataFrame, quota: DataFrame, docs: int, bucket_rows: int =
     rows = rows.withColumn("h", order).withColumn("bucket", F.substring("h", 1, digits))
     sums = rows.groupBy("source", "pass", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = sums.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("source", "pass").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = rows.join(before, ["source", "pass", "bucket"]).withColumn("at", F.col("before") + inside)
     out = out.where("pass < passes or at < rest").withColumn("place", F.expr("pass * tokens + at"))
     share = F.when(F.col("quota") > 0, F.col("place") / F.col("quota")).otherwise(0.0)
