@@ -221,6 +221,36 @@ def test_hnsw_recall_ties_and_bad_vectors(spark):
     assert hit >= 0.9 * 90
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "copies", "far"])
+def test_hnsw_recall_of_one_shard(kind):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 48))
+    if kind == "clusters":
+        x = r.standard_normal((100, 48))[r.integers(0, 100, 3000)] * 10 + 0.1 * x
+    if kind == "copies":
+        x[500:2000] = x[r.integers(0, 40, 1500)]
+    if kind == "far":
+        x += 500
+    x = x.astype(np.float32)
+    g = hnsw.build(np.arange(3000), x)
+    assert hnsw._reach(g["layers"][0]).all() and sorted(g["members"].tolist()) == list(range(3000))
+    found, begins, hit = hnsw.search(g, x[::30]), np.concatenate([[0], g["ends"][:-1]]), 0
+    for i, q in enumerate(range(0, 3000, 30)):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        best = np.sort(np.delete(d, q))[:10]
+        got = np.concatenate([hnsw._others(g["members"][begins[j] : g["ends"][j]], q, 10) for j in found[i][found[i] >= 0]])
+        hit += (np.sort(d[got])[:10] <= best * (1 + 1e-9)).sum()
+    assert hit >= 0.9 * 1000
+
+
+def test_hnsw_scores_doubles_as_given(spark):
+    rows = [(i, [1.0 + i * 1e-12, 2.0]) for i in range(30)]
+    got = hnsw.nearest(spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<double>, shard string, ask int"), __import__("pyspark").sql.functions.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i) for i in range(1, 11)]
+    assert all(r.score == abs(rows[r.vec_id][1][0] - 1.0) for r in got)
+    assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("vec_id") == 0).count() == 0
+
+
 def test_hnsw_of_repeated_query_rows(spark):
     rows = [(0, [1.0, 0.0])] * 14 + [(0, [0.0, 5.0])] + [(i, [1.0, 0.0]) for i in range(1, 13)] + [(20 + i, [0.0, 5.0 + i]) for i in range(12)]
     got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("vec_id") == 0).collect()
