@@ -301,6 +301,53 @@ def test_kd_shards(spark, texts):
     assert sorted(few.doc_id) == list(range(6)) and few.shard.between(0, 23).all()
     even = kdshard.sharded(docs(spark, [f"text {i}" for i in range(400)]), 8).toPandas().groupby("shard")["size"].sum()
     assert len(even) == 8 and even.max() <= 1.05 * even.mean()
+    one = kdshard.sharded(docs(spark, texts), 1).toPandas()
+    assert set(one.shard) == {0} and sorted(one.slot) == list(range(len(texts)))
+
+
+def brute_shards(rows, shards):
+    """Plain recursion over (size, crc, source, lang): cuts at the key whose weight to the left is nearest to the share."""
+    import math
+
+    low = {}
+    for size, crc, source, lang in rows:
+        g = low.setdefault((size, crc), [source, lang])
+        g[0], g[1] = min(g[0], source), min(g[1], lang)
+    keys = [tuple((v << 32) + crc for v in (min((1 << 20) - 1, math.floor(math.log2(size) * 32_000)), *low[size, crc])) for size, crc, _, _ in rows]
+    span = [max(1, max(k[d] for k in keys) - min(k[d] for k in keys)) for d in range(3)]
+    names, out = kdshard.DIMS, [0] * len(rows)
+
+    def cut(mine, first, n):
+        if n == 1 or not mine:
+            for i in mine:
+                out[i] = first
+            return
+        d = max(range(3), key=lambda d: ((max(keys[i][d] for i in mine) - min(keys[i][d] for i in mine)) / span[d], names[d]))
+        target, upto, at = sum(rows[i][0] for i in mine) * (n // 2) / n, 0, None
+        for k in sorted({keys[i][d] for i in mine}):
+            w = sum(rows[i][0] for i in mine if keys[i][d] == k)
+            if upto + w >= target:
+                at = k + 1 if abs(upto + w - target) < abs(upto - target) else k
+                break
+            upto += w
+        cut([i for i in mine if keys[i][d] < at], first, n // 2)
+        cut([i for i in mine if keys[i][d] >= at], first + n // 2, n - n // 2)
+
+    cut(list(range(len(rows))), 0, shards)
+    return out
+
+
+def test_kd_shards_are_those_of_plain_medians(spark):
+    r = np.random.default_rng(11)
+    texts = ["x" * int(n) + str(i) for i, n in enumerate(r.integers(10, 3000, 500))]
+    texts[100:140] = [texts[i] for i in range(40)]  # equal texts
+    d = docs(spark, texts)
+    got = {x.doc_id: x for x in kdshard.kd_shards(d, 6, tolerance=0.0, whole=0.1).collect()}
+    word = {v: int(x) for v, x in d.selectExpr("source", "shiftrightunsigned(xxhash64(coalesce(source, '\\0')), 44) as s").distinct().collect()}
+    langs = {v: int(x) for v, x in d.selectExpr("lang", "shiftrightunsigned(xxhash64(coalesce(lang, '\\0')), 44) as s").distinct().collect()}
+    rows = [(len(t) + 8, zlib.crc32(t.encode()), word["s" if i % 3 else None], langs["en" if i % 2 else None]) for i, t in enumerate(texts)]
+    assert [got[i].shard for i in range(500)] == brute_shards(rows, 6)
+    assert all(got[i].shard == got[100 + i].shard for i in range(40))
 
 
 def test_components(spark):
