@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 
 BATCH_BYTES = str(1 << 20)
+FILE_ROWS = 250_000
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -43,17 +44,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     The files survive the loss of any executor, unlike a local checkpoint. The
     shuffle files of the job go when it has ended, as nothing reads them again.
+    With ``rows`` (about as many narrow rows come) there is no more than a file for each FILE_ROWS.
     """
     spark = df.sparkSession
     lean(spark)
     path = scratch_path(spark, name)
     with released(spark):
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,18 +104,18 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = save(e, name)
-    seen = None
+    seen, n = None, None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(small.unionAll(low2.select("u", F.col("m").alias("v"))).distinct(), name)
+        e = save(small.unionAll(low2.select("u", F.col("m").alias("v"))).distinct(), name, n)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, n = now, 2 * now[0]
     else:
         raise RuntimeError("connected components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionAll(

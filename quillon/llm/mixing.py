@@ -28,9 +28,9 @@ from .base import save
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def weigh(docs: DataFrame) -> DataFrame:
+def weigh(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        *keep, "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
 
@@ -95,7 +95,7 @@ def quotas(sources: DataFrame, alpha: float, cover: bool = False, budget: int |
     return out.withColumn("passes", whole.cast("long")).withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0).cast("long"))
 
 
-def realise(weighed: DataFrame, quota: DataFrame, docs: int, bucket_rows: int = 20_000) -> DataFrame:
+def realise(weighed: DataFrame, quota: DataFrame, docs: int, bucket_rows: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, n_tokens, pass, place (tokens of the source before it), share (place / quota): a row for each time a document is read.
 
     Ascending ``share`` interleaves the sources at their weights.
@@ -107,17 +107,17 @@ def realise(weighed: DataFrame, quota: DataFrame, docs: int, bucket_rows: int =
     rows = rows.withColumn("h", order).withColumn("bucket", F.substring("h", 1, digits))
     sums = rows.groupBy("source", "pass", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = sums.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("source", "pass").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "pass", "bucket").orderBy("h", "doc_id", "n_tokens", *keep).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = rows.join(before, ["source", "pass", "bucket"]).withColumn("at", F.col("before") + inside)
     out = out.where("pass < passes or at < rest").withColumn("place", F.expr("pass * tokens + at"))
     share = F.when(F.col("quota") > 0, F.col("place") / F.col("quota")).otherwise(0.0)
-    return out.select("doc_id", "source", "n_tokens", "pass", "place", share.alias("share"))
+    return out.select(*keep, "doc_id", "source", "n_tokens", "pass", "place", share.alias("share"))
 
 
-def mix_sources(docs: DataFrame, max_repeat: float | None = 3.0, entropy: float | None = None, cover: bool = False, budget: int | None = None) -> DataFrame:
-    """Rows of ``realise`` for ``docs(doc_id, source, text)`` at the weights that ``exponent`` finds."""
-    weighed = save(weigh(docs), "weighed")
+def mix_sources(docs: DataFrame, max_repeat: float | None = 3.0, entropy: float | None = None, cover: bool = False, budget: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``realise`` for ``docs(doc_id, source, text, *keep)`` at the weights that ``exponent`` finds."""
+    weighed = save(weigh(docs, keep), "weighed")
     sources = save(source_tokens(weighed), "sources")
     alpha = exponent(sources, max_repeat, entropy, cover)
     most = sources.agg(F.max("docs")).first()[0] or 0
-    return realise(weighed, quotas(sources, alpha, cover, budget), most)
+    return realise(weighed, quotas(sources, alpha, cover, budget), most, keep=keep)

@@ -14,8 +14,9 @@ these are compared in blocks of bounded size on the full shingle sets. Nothing i
 one component need no comparison, all others get one.
 
 Null texts and texts without words have an empty set, are linked with nothing
-and stay. Repeated rows of one doc_id are one class of equal sets. Other columns
-are ignored.
+and stay. Where ids are missing or repeated, rows are judged by their own texts: a row's component_id is
+the smallest id in its group (null, if none has one), rows with that id stay, and of a group without ids one row does.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -210,11 +211,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block:
     rounds (five standard deviations).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return _linked(docs, size, threshold, block)
+    rows = save(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _linked(rows.select(F.col("row").alias("doc_id"), "text"), size, threshold, block).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("head"))
+    found = save(found.join(rows.select("row", "doc_id"), "row"), "found")
+    low = found.groupBy("head").agg(F.min("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("head")))
+    return found.join(low, "head").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _linked(docs: DataFrame, size: int, threshold: int, block: int) -> DataFrame:
+    """The same for documents with ids, each once."""
     all_docs = save(sketches(docs, size), "sketch")
     classes = all_docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = all_docs.where("digest is not null").select("digest", "doc_id", "n_shingles").join(classes, "digest").select("doc_id", "n_shingles", "rep")
     member = save(member, "member")
-    reps = all_docs.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "bands", "small", "n_shingles").dropDuplicates(["rep"])
+    reps = all_docs.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "bands", "small", "n_shingles")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = save(keys.join(many, "key"), "buckets")  # only buckets of two or more
@@ -227,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block:
         for rb in text_slices(batches):
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rb, size)], pa.binary())], ["rep", "set"])
 
-    sets = save(wanted.select("doc_id", "text").mapInArrow(full, schema(rep=LONG, set=BIN)).dropDuplicates(["rep"]), "sets")
+    sets = save(wanted.select("doc_id", "text").mapInArrow(full, schema(rep=LONG, set=BIN)), "sets")
     comp = None  # (node, component_id) so far
     links = None
     least = threshold / 100 - 0.18

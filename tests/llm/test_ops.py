@@ -275,6 +275,15 @@ def test_near_duplicates(spark, texts):
     assert got == {i: (len(s[i]), comp[i], comp[i] == i) for i in range(len(s))}
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    base, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, base), (2, other), (2, base + " one"), (3, base), (None, other + " two"), (None, "x y z"), (None, "x y z"), (None, None), (4, ""), (4, base), (1, base)]
+    d = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, rep string")
+    got = sorted(((r.doc_id or 0), (r.component_id or 0), r.n_shingles, r.kept) for r in neardup.near_duplicates(d, 4, 80).collect())
+    assert got == sorted([(1, 1, 57, True), (1, 1, 57, True), (2, 2, 57, True), (2, 1, 58, False), (3, 1, 57, False), (0, 2, 58, False), (0, 0, 1, True), (0, 0, 1, False), (0, 0, 0, True), (4, 4, 0, True), (4, 1, 57, False)])
+    assert neardup.near_duplicates(d.limit(0), 4, 80).count() == 0
+
+
 def test_decontamination(spark, texts):
     items = spark.createDataFrame([(0, texts[5]), (1, None), (2, ""), (3, "ONE."), (10, texts[6]), (11, texts[6])], "item_id long, text string")
     got = {r.doc_id: r for r in decontam.contamination(docs(spark, texts), items).collect()}
