@@ -1,33 +1,35 @@
 """Benchmark decontamination with a positional inverted index that is partitioned by documents.
 
-The index is a table of blocks, written to the shared folder: a block holds the
-postings (term, position) of some documents as two flat arrays, sorted by term
-then position, with the documents' spans. Positions count through the block, with a gap
-after each document, so that a phrase never crosses documents. Only terms that
-occur in the benchmark are stored; all other words keep their positions.
+The index is a table of blocks, written once to the shared folder: a block holds the
+postings of every word of some documents: the distinct terms (64-bit fingerprints of the words' bytes), how often each
+occurs, and the positions, term by term, in ascending order, with the documents' spans. Positions count through the block,
+with a gap after each document, so that a phrase never crosses documents.
 
 A phrase is found by intersecting offset-adjusted posting lists: from the rarest
 of its terms in the block to the most frequent, each list is shifted by the term's offset
 in the phrase and intersected with what is left. All phrases of a batch run
-through each step together.
+through each step together. Proximity matches ask for all words of a phrase near its rarest one.
 
 The benchmark's vocabulary and phrases go to the tasks in parts of at most
-``part_words`` words, so their size is bounded whatever the benchmark's is; more
-parts mean more passes over the stored blocks.
+``part_words`` words (or one item), so their size is bounded whatever the benchmark's is; more
+parts mean more passes over the stored blocks, and their results are merged by row.
 
 Null texts have no words and are never hit; null or empty items are no phrase;
-repeated items each count; an empty benchmark hits nothing; other columns are
-ignored.
+repeated items each count; an empty benchmark hits nothing; documents with missing or repeated ids have each their own result; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import BIN, INT, LONG, STR, save, schema
 from .words import ALNUM, Words, text_bytes, text_slices
@@ -41,7 +43,7 @@ def item_words(rb: pa.RecordBatch) -> Words:
     return Words(buf, off, ALNUM, lower=True)
 
 
-def benchmark_parts(items: DataFrame, part_words: int = 4_000_000):
+def benchmark_parts(items: DataFrame, part_words: int = 1_000_000):
     """The items' word fingerprints in parts: lists of (item_id, array), read one partition at a time."""
 
     def hashed(batches):
@@ -66,62 +68,72 @@ def benchmark_parts(items: DataFrame, part_words: int = 4_000_000):
 
 
 class Phrases:
-    """Distinct windows of items: offsets x terms, as ranks in the sorted vocabulary, and the items of each."""
+    """Distinct windows of items by length: rows of places in the sorted vocabulary, and each row's items (flat, and where they begin)."""
 
     def __init__(self, part: list, window: int = WINDOW):
-        self.vocabulary = np.unique(np.concatenate([h for _, h in part]))
-        of: dict[bytes, list[int]] = {}
-        for k, (_, h) in enumerate(part):
-            t = np.searchsorted(self.vocabulary, h).astype(np.int64)
-            n = min(window, len(t))
-            for i in range(len(t) - n + 1):
-                who = of.setdefault(t[i : i + n].tobytes(), [])
-                if not who or who[-1] != k:
-                    who.append(k)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in part)])
+        self.vocabulary = np.unique(flat)
         self.item_ids = [i for i, _ in part]
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for n in sorted({len(x) // 8 for x in of}):
-            mine = [(x, w) for x, w in of.items() if len(x) == 8 * n]
-            self.by_length[n] = np.array([np.frombuffer(x, np.int64) for x, _ in mine]), [w for _, w in mine]
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Store the blocks: doc_ids, spans of the documents' positions, and the postings as (term << 32 | position), sorted."""
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
+        term = np.searchsorted(self.vocabulary, flat).astype(np.int32)
+        size = np.array([len(h) for _, h in part], np.int64)
+        begin, length = np.cumsum(size) - size, np.minimum(size, window)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            count = size[mine] - n + 1
+            item = np.repeat(mine, count)
+            first = np.repeat(begin[mine], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rows = term[first[:, None] + np.arange(n)]
+            _, at, which = np.unique(np.ascontiguousarray(rows).view(f"V{4 * n}").ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(which.ravel().astype(np.int64) * len(part) + item)
+            self.by_length[n] = rows[at], (pairs % len(part)).astype(np.int32), np.searchsorted(pairs // len(part), np.arange(len(at) + 1))
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Store the blocks: block (its number), doc_ids, spans of the documents' words, and the postings: terms, counts, places."""
 
     def run(batches):
-        known = terms.value
+        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for rb in text_slices(batches):
             w = item_words(rb)
             h = w.hashes()
-            rank = np.searchsorted(known, h)
-            rank[rank == len(known)] = 0
-            hit = np.flatnonzero(known[rank] == h) if len(known) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(rb.num_rows), np.diff(w.first))
-            key = (rank[hit].astype(np.int64) << 32) | (hit + doc[hit] * GAP)
-            key.sort()
-            spans = w.first.astype(np.int64)
-            ids = rb.column("doc_id").to_pylist()
+            order = np.argsort(h, kind="stable")  # places of a term stay in order
+            terms, counts = np.unique(h[order], return_counts=True)
+            doc = np.repeat(np.arange(rb.num_rows, dtype=np.int64), np.diff(w.first))
+            place = (order + doc[order] * GAP).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([spans.tobytes()], pa.binary()), pa.array([key.tobytes()], pa.binary())], ["doc_ids", "spans", "postings"]
-            )
-
-    from pyspark.sql import types as T
-
-    kinds = T.StructType([T.StructField("doc_ids", T.ArrayType(LONG)), T.StructField("spans", BIN), T.StructField("postings", BIN)])
+                [
+                    pa.array([block], pa.int64()), pa.array([rb.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (w.first.astype(np.int64), terms, counts.astype(np.int32), place)),
+                ],
+                ["block", "doc_ids", "spans", "terms", "counts", "places"],
+            )
+            block += 1
+
+    kinds = T.StructType([T.StructField("block", LONG), T.StructField("doc_ids", T.ArrayType(LONG)), *schema(spans=BIN, terms=BIN, counts=BIN, places=BIN).fields])
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds), "postings")
 
 
 class Block:
-    """One block's postings."""
+    """One block's postings; a term here is its place among the block's terms."""
 
-    def __init__(self, doc_ids: list, spans: bytes, postings: bytes):
-        self.doc_ids, self.spans = doc_ids, np.frombuffer(spans, np.int64)
-        self.keys = np.frombuffer(postings, np.int64)
+    def __init__(self, doc_ids: list, spans: bytes, terms: bytes, counts: bytes, places: bytes):
+        self.doc_ids, self.spans, self.terms = doc_ids, np.frombuffer(spans, np.int64), np.frombuffer(terms, np.uint64)
+        counts = np.frombuffer(counts, np.int32)
+        self.ends = np.cumsum(counts, dtype=np.int64)
+        self.keys = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | np.frombuffer(places, np.int32)
         self.begins = self.spans[:-1] + np.arange(len(doc_ids)) * GAP
 
+    def own(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The block's terms of the fingerprints; -1: not in the block."""
+        if not len(self.terms):
+            return np.full(len(vocabulary), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, vocabulary), len(self.terms) - 1)
+        return np.where(self.terms[at] == vocabulary, at, -1)
+
     def span(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.keys, terms << 32), np.searchsorted(self.keys, (terms + 1) << 32)
+        hi = self.ends[terms]
+        return np.where(terms > 0, self.ends[terms - 1], 0), hi
 
     def has(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
         key = (terms << 32) | places
@@ -134,14 +146,13 @@ class Block:
         lo, hi = self.span(terms)
         length = hi - lo
         order = np.argsort(length, axis=1, kind="stable")
-        some = np.flatnonzero(length.min(axis=1) > 0)
         rarest = order[:, 0]
         sizes = length[np.arange(len(terms)), rarest]
+        total = np.cumsum(sizes)
         at = 0
-        while at < len(some):
-            total = np.cumsum(sizes[some[at:]])
-            to = at + max(1, int(np.searchsorted(total, limit, "right")))
-            rows = some[at:to]
+        while at < len(terms):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+            rows = np.arange(at, min(to, len(terms)))
             at = to
             n = sizes[rows]
             who = np.repeat(rows, n)
@@ -158,7 +169,7 @@ class Block:
         """(row, place of the rarest term): all terms of the row within ``slop`` words of it, in any order."""
         lo, hi = self.span(terms)
         length = hi - lo
-        for row in np.flatnonzero(length.min(axis=1) > 0):
+        for row in range(len(terms)):
             order = np.argsort(length[row], kind="stable")
             place = self.keys[lo[row, order[0]] : hi[row, order[0]]] & 0xFFFFFFFF
             for k in order[1:]:
@@ -173,9 +184,9 @@ class Block:
 
 
 def matches(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
-    """Per document: words, merged hit spans (within the document) and item ids.
+    """Per document: words, merged hit spans (within the document) and item ids; block and row say which row it is.
 
-    Exact phrases, or with ``slop`` the places where all words of a phrase are that close to its rarest word.
+    Exact phrases, or with ``slop`` (less than GAP) the places where all words of a phrase are that close to its rarest word.
     """
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
@@ -183,46 +194,42 @@ def matches(index: DataFrame, phrases: Phrases, slop: int | None = None) -> Data
         todo = shared.value
         for rb in batches:
             for row in range(rb.num_rows):
-                block = Block(rb.column("doc_ids")[row].as_py(), rb.column("spans")[row].as_py(), rb.column("postings")[row].as_py())
+                block = Block(*(rb.column(c)[row].as_py() for c in ("doc_ids", "spans", "terms", "counts", "places")))
                 n_words = np.diff(block.spans)
                 hits: dict[int, list] = {}
                 items: dict[int, set] = {}
-                for n, (terms, owners) in todo.by_length.items():
-                    for who, place in block.phrases(terms) if slop is None else block.near(terms, slop):
+                own = block.own(todo.vocabulary)
+                for n, (rows, owners, starts) in todo.by_length.items():
+                    terms = own[rows]
+                    some = np.flatnonzero((terms >= 0).all(axis=1))
+                    for who, place in block.phrases(terms[some]) if slop is None else block.near(terms[some], slop):
                         doc = block.doc_of(place)
-                        for d, p, w in zip(doc.tolist(), (place - block.begins[doc]).tolist(), who.tolist(), strict=True):
+                        for d, p, w in zip(doc.tolist(), (place - block.begins[doc]).tolist(), some[who].tolist(), strict=True):
                             hits.setdefault(d, []).append((p, p + (n if slop is None else 1)))
-                            items.setdefault(d, set()).update(owners[w])
-                spans = []
-                for d in range(len(block.doc_ids)):
-                    flat, last = [], -1
-                    for a, b in sorted(hits.get(d, [])):
-                        if flat and a <= last:
-                            last = flat[-1] = max(last, b)
-                        else:
-                            flat += [a, b]
-                            last = b
-                    spans.append(np.array(flat, np.int64).tobytes())
+                            items.setdefault(d, set()).update(owners[starts[w] : starts[w + 1]].tolist())
+                spans = [np.array([y for x in _merged(hits.get(d, [])) for y in x], np.int64).tobytes() for d in range(len(block.doc_ids))]
                 names = [[todo.item_ids[k] for k in sorted(items.get(d, ()))] for d in range(len(block.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.doc_ids, pa.int64()), pa.array(n_words), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"]
-                )
+                    [pa.array([rb.column("block")[row].as_py()] * len(n_words), pa.int64()), pa.array(np.arange(len(n_words), dtype=np.int32)), pa.array(block.doc_ids, pa.int64()), pa.array(n_words), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.int64()))],
+                    ["block", "row", "doc_id", "n_words", "spans", "items"],
+                )
 
-    from pyspark.sql import types as T
-
-    kinds = T.StructType([T.StructField("doc_id", LONG), T.StructField("n_words", LONG), T.StructField("spans", BIN), T.StructField("items", T.ArrayType(LONG))])
+    kinds = T.StructType([*schema(block=LONG, row=INT, doc_id=LONG, n_words=LONG, spans=BIN).fields, T.StructField("items", T.ArrayType(LONG))])
     return index.mapInArrow(run, kinds)
 
 
-def merge_spans(blobs: list[bytes]) -> list[tuple[int, int]]:
-    flat = sorted(tuple(x) for b in blobs for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist())
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in flat:
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return out
+
+
+def merge_spans(blobs: list[bytes]) -> list[list[int]]:
+    return _merged([tuple(x) for b in blobs for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist()])
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -238,46 +245,37 @@ def digest(rows: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
             )
 
-    out = rows.mapInArrow(run, schema(doc_id=LONG, n_words=LONG, n_hit=LONG, n_items=LONG, items_sha256=STR))
+    out = rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, schema(doc_id=LONG, n_words=LONG, n_hit=LONG, n_items=LONG, items_sha256=STR))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def contamination(docs: DataFrame, items: DataFrame, part_words: int = 4_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; each row has its own result."""
-    parts = benchmark_parts(items, part_words)
-    first, second = next(parts, None), next(parts, None)
+def found(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000, slop: int | None = None) -> DataFrame:
+    """Rows of ``matches`` for a whole benchmark: the index is stored once, and read once for each part of the benchmark."""
+    index, parts = build_index(docs), benchmark_parts(items, part_words)
+    first, second = next(parts, []), next(parts, None)
     if second is None:
-        ph = Phrases(first) if first else _none()
-        return digest(matches(build_index(docs, ph.vocabulary), ph))
-    # ids may be missing or repeated: the parts are merged on a key of the row
-    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    keyed, got = rows.select(F.col("row").alias("doc_id"), "text"), []
-    for part in _chain(first, _chain(second, parts)):
-        ph = Phrases(part)
-        got.append(matches(build_index(keyed, ph.vocabulary), ph))
-    every = got[0]
-    for x in got[1:]:
-        every = every.unionAll(x)
-    one = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), F.flatten(F.collect_list("items")).alias("items"))
+        return matches(index, Phrases(first), slop)
+    got = [matches(index, Phrases(part), slop) for part in chain([first, second], parts)]
+    every, kinds = got[0], got[0].schema
+    for x in got[1:]:  # of the other parts, what they add
+        every = every.unionAll(x.where("octet_length(spans) > 0"))
+    one = every.groupBy("block", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), F.flatten(F.collect_list("items")).alias("items"))
 
     def join(batches):
         for rb in batches:
             spans = [np.array([y for x in merge_spans(v) for y in x], np.int64).tobytes() for v in rb.column("lists").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("n_words"), pa.array(spans, pa.binary()), rb.column("items")], ["doc_id", "n_words", "spans", "items"])
-
-    found = digest(one.mapInArrow(join, got[0].schema))
-    return found.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row").select("doc_id", *found.columns[1:])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("block", "row", "doc_id", "n_words")), pa.array(spans, pa.binary()), rb.column("items")], kinds.names)
 
+    return one.mapInArrow(join, kinds)
 
-def _chain(first, rest):
-    yield first
-    yield from rest
 
-
-def _none() -> Phrases:
-    out = Phrases.__new__(Phrases)
-    out.vocabulary, out.item_ids, out.by_length = np.zeros(0, np.uint64), [], {}
-    return out
+def contamination(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; each row has its own result."""
+    return digest(found(docs, items, part_words))
 
 
-__all__ = ["Block", "Phrases", "benchmark_parts", "build_index", "contamination", "digest", "matches", "merge_spans", "INT"]
+def proximity(docs: DataFrame, items: DataFrame, slop: int, part_words: int = 1_000_000) -> DataFrame:
+    """The same for words that are near each other: n_hit counts the places where all words of a window are within ``slop`` words of its rarest one (in its block)."""
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
+    return digest(found(docs, items, part_words, slop))

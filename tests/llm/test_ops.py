@@ -290,16 +290,36 @@ def test_decontamination(spark, texts):
     assert got[5].contaminated and got[5].n_hit == got[5].n_words and got[6].n_items == 2 and got[texts.index("one")].n_hit == 1 and not got[texts.index(None)].contaminated
     assert {k: v.n_hit for k, v in got.items()} == {r.doc_id: r.n_hit for r in decontam.contamination(docs(spark, texts), items, part_words=30).collect()}
     assert not any(r.contaminated for r in decontam.contamination(docs(spark, texts), items.limit(0)).collect())
+    assert decontam.contamination(docs(spark, texts).limit(0), items).count() == 0
 
 
 def test_decontamination_of_repeated_ids_in_parts(spark, texts):
     rows = [(1, texts[5]), (1, texts[6]), (None, texts[7]), (None, texts[8]), (None, texts[5]), (2, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(0, texts[5]), (1, texts[8]), (2, texts[9])], "item_id long, text string")
-    one, many = (sorted((r.doc_id or 0, *r[1:]) for r in decontam.contamination(d, items, part_words=n).collect()) for n in (4_000_000, 3))
+    one, many = (sorted((r.doc_id or 0, *r[1:]) for r in decontam.contamination(d, items, part_words=n).collect()) for n in (1_000_000, 3))
     assert one == many and len(one) == len(rows) and [r[-1] for r in one].count(True) == 3
 
 
+def test_proximity(spark):
+    r = np.random.default_rng(2)
+    words = [[f"w{i}" for i in r.integers(0, 12, n)] for n in (40, 25, 3, 60)]
+    items = [["w1", "w2", "w3"], ["w4", "w4"], ["w0", "nowhere"]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(items)], "item_id long, text string, block string")
+    got = {x.doc_id: x for x in decontam.proximity(d, b, 2).collect()}
+    total = Counter(w for x in words for w in x)
+    for i, w in enumerate(words):
+        places, n = set(), set()
+        for k, item in enumerate(items):
+            if all(total[x] for x in item):
+                rare = min(item, key=lambda x: total[x])
+                hit = [p for p, x in enumerate(w) if x == rare and all(y in w[max(0, p - 2) : p + 3] for y in item)]
+                places |= set(hit)
+                n |= {k} if hit else set()
+        assert (got[i].n_hit, got[i].n_items) == (len(places), len(n))
+
+
 def test_kd_shards(spark, texts):
     rows = kdshard.sharded(docs(spark, texts * 6), 4).toPandas()
     assert len(rows) == 6 * len(texts)
