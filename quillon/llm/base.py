@@ -44,21 +44,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     The files survive the loss of any executor, unlike a local checkpoint. The
     shuffle files of the job go when it has ended, as nothing reads them again.
     With ``rows`` (about as many narrow rows come) there is no more than a file for each FILE_ROWS.
+    Inside a ``cleared`` block the table goes at the block's end; with ``keep``, at that of the block around it, if there is one.
     """
     spark = df.sparkSession
     lean(spark)
     path = scratch_path(spark, name)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     with released(spark):
         (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """Tables saved in this block are deleted at its end: what it returns must be saved with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def released(spark: SparkSession):
     """Jobs in this block delete their shuffle files at their end."""
@@ -75,17 +97,14 @@ def released(spark: SparkSession):
 
 def drop(saved: DataFrame) -> None:
     """Delete one saved table; call it only when nothing reads it any more."""
-    spark, files = saved.sparkSession, saved.inputFiles()
+    files = saved.inputFiles()
     if files:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(saved.sparkSession, files[0].rpartition("/")[0])
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this library's scratch tables; call it only when nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quillon")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether every row has an id and no two have the same."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
 
 
 def crc32_of_id(col: str = "doc_id") -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import BIN, INT, LONG, STR, save, schema
+from .base import BIN, INT, LONG, STR, cleared, save, schema
 from .words import ALNUM, Words, text_bytes, text_slices
 
 WINDOW = 10
@@ -271,11 +271,13 @@ def found(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000, slop:
 
 def contamination(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; each row has its own result."""
-    return digest(found(docs, items, part_words))
+    with cleared(docs.sparkSession):
+        return save(digest(found(docs, items, part_words)), "hits", keep=True)
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, part_words: int = 1_000_000) -> DataFrame:
     """The same for words that are near each other: n_hit counts the places where all words of a window are within ``slop`` words of its rarest one (in its block)."""
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be from 0 to {GAP - 1}")
-    return digest(found(docs, items, part_words, slop))
+    with cleared(docs.sparkSession):
+        return save(digest(found(docs, items, part_words, slop)), "near", keep=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import BIN, DBL, INT, LONG, save, schema
+from .base import BIN, DBL, INT, LONG, cleared, save, schema
 from .words import mix
 
 M0, M, REPAIR, BUILD, NARROW, EF, DESCENT, BATCH = 24, 12, 4, 80, 12, 128, 1 / 12, 256
@@ -260,6 +260,11 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, shard_rows: int = 12
     broadcast, and per query and shard only k candidates move on. A group has as many bytes as a graph
     or more, so what is copied is in proportion to queries times shards, as the searches are.
     """
+    with cleared(vectors.sparkSession):
+        return save(_ranked(vectors, query, k, shard_rows, ef, block, group_queries), "nearest", keep=True)
+
+
+def _ranked(vectors: DataFrame, query: Column, k: int, shard_rows: int, ef: int, block: int, group_queries: int) -> DataFrame:
     rows = save(usable(vectors), "vectors")
     n = rows.count()
     shards = max(1, -(-n // shard_rows))

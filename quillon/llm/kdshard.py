@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import save
+from .base import cleared, drop, save
 
 DIMS = ("d_size", "d_source", "d_lang")
 LOWEST = -(1 << 62)
@@ -119,7 +119,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, bins: int = 8192, tolerance: fl
             nodes.setdefault(x, {"dim": 0, "cut": 0, "tie": LOWEST, "left": 0})  # one shard, or no rows: nothing to cut
         left = (_along() < F.col("cut")) | ((_along() == F.col("cut")) & (tied < F.col("tie"))) | (F.col("left") == 0)
         told = _told(rows, nodes, "dim int, cut long, tie long, left int")
-        rows = save(told.withColumn("node", F.when(left, F.col("node")).otherwise(F.col("node") + F.col("left"))).select(*rows.columns), "tree")
+        before, rows = rows, save(told.withColumn("node", F.when(left, F.col("node")).otherwise(F.col("node") + F.col("left"))).select(*rows.columns), "tree")
+        drop(before)
         parts = [(n, nodes[n]["left"], c) for n, c in count.items()]
         count = {k: v for n, k_left, c in parts for k, v in (((n, k_left), (n + k_left, c - k_left)) if k_left else ((n, 1),))}
     return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
@@ -137,5 +138,6 @@ def with_slots(rows: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
-    out = with_slots(save(kd_shards(docs, shards), "sharded"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with cleared(docs.sparkSession):
+        out = with_slots(save(kd_shards(docs, shards), "sharded"))
+        return save(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")), "slots", keep=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import save
+from .base import cleared, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,8 +116,9 @@ def realise(weighed: DataFrame, quota: DataFrame, docs: int, bucket_rows: int =
 
 def mix_sources(docs: DataFrame, max_repeat: float | None = 3.0, entropy: float | None = None, cover: bool = False, budget: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``realise`` for ``docs(doc_id, source, text, *keep)`` at the weights that ``exponent`` finds."""
-    weighed = save(weigh(docs, keep), "weighed")
-    sources = save(source_tokens(weighed), "sources")
-    alpha = exponent(sources, max_repeat, entropy, cover)
-    most = sources.agg(F.max("docs")).first()[0] or 0
-    return realise(weighed, quotas(sources, alpha, cover, budget), most, keep=keep)
+    with cleared(docs.sparkSession):
+        weighed = save(weigh(docs, keep), "weighed")
+        sources = save(source_tokens(weighed), "sources")
+        alpha = exponent(sources, max_repeat, entropy, cover)
+        most = sources.agg(F.max("docs")).first()[0] or 0
+        return save(realise(weighed, quotas(sources, alpha, cover, budget), most, keep=keep), "mixed", keep=True)

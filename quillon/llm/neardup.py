@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import BIN, LONG, components, save, schema
+from .base import BIN, LONG, cleared, components, distinct_ids, save, schema
 from .words import NOT_SPACE, Words, grams, mix, text_bytes, text_slices
 
 COORDS = 128
@@ -211,8 +211,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block:
     rounds (five standard deviations).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        return _linked(docs, size, threshold, block)
+    with cleared(docs.sparkSession):
+        found = _linked(docs, size, threshold, block) if distinct_ids(docs) else _linked_rows(docs, size, threshold, block)
+        return save(found, "near", keep=True)
+
+
+def _linked_rows(docs: DataFrame, size: int, threshold: int, block: int) -> DataFrame:
+    """The same where ids are missing or repeated: by the rows' numbers."""
     rows = save(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = _linked(rows.select(F.col("row").alias("doc_id"), "text"), size, threshold, block).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("head"))
     found = save(found.join(rows.select("row", "doc_id"), "row"), "found")
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, block:
 
 
 def _linked(docs: DataFrame, size: int, threshold: int, block: int) -> DataFrame:
-    """The same for documents with ids, each once."""
+    """The same for documents with an id each."""
     all_docs = save(sketches(docs, size), "sketch")
     classes = all_docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = all_docs.where("digest is not null").select("digest", "doc_id", "n_shingles").join(classes, "digest").select("doc_id", "n_shingles", "rep")

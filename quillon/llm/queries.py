@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, hnsw, kdshard, langid, lmscore, mixing, neardup, substring, token_codes
-from .base import crc32_of_id, table
+from .base import cleared, crc32_of_id, save, table
 
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
 EXTRA_CONVERSATION = -7
@@ -38,8 +38,9 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     train = crc32_of_id() % 10 != 0
-    model, counts = lmscore.fit(docs, train, tokenizer_path())
-    return lmscore.score(docs, train, model, counts)
+    with cleared(spark):
+        model, counts = lmscore.fit(docs, train, tokenizer_path())
+        return save(lmscore.score(docs, train, model, counts), "scores", keep=True)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

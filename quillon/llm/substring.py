@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import BIN, INT, LONG, STR, save, schema
+from .base import BIN, INT, LONG, STR, cleared, save, schema
 from .words import NOT_SPACE, Words, grams, mix, text_bytes, text_slices
 
 SAMPLE, HOT_SHARE, HOT_LEAST, HOLD = 16, 1024, 64, 200_000
@@ -309,6 +309,11 @@ def told_apart(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every document."""
+    with cleared(docs.sparkSession):
+        return save(_kept(docs, k, m, with_text), "kept", keep=True)
+
+
+def _kept(docs: DataFrame, k: int, m: int, with_text: bool) -> DataFrame:
     own, ranks = told_apart(with_key(docs))
     lists = repeated_spans(own, k, m).groupBy("did").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
@@ -340,7 +345,7 @@ def remove_repeated(docs: DataFrame, k: int = 20, m: int = 8, with_text: bool =
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = dict(doc_id=LONG, n_words=LONG, n_removed=LONG, kept_sha256=STR) | ({"kept_text": STR} if with_text else {})
-    out = save(own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds)), "kept")
+    out = own.join(lists, "did", "left").select("did", "text", "a", "b").mapInArrow(run, schema(**kinds))
     if ranks is None:
         return out
     return out.withColumnRenamed("doc_id", "rank").join(ranks, "rank").select(*kinds)
