@@ -18,6 +18,8 @@ rows than shards, or very heavy ones, some shards stay empty.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,7 +48,8 @@ def metadata(docs: DataFrame) -> DataFrame:
 def _told(rows: DataFrame, nodes: dict[int, dict], fields: str) -> DataFrame:
     """The rows of these nodes with the nodes' fields: a broadcast of one small row a node."""
     names = [f.split()[0] for f in fields.split(", ")]
-    table = rows.sparkSession.createDataFrame([(n, *(x[k] for k in names)) for n, x in nodes.items()], f"node int, {fields}")
+    text = json.dumps([{"node": n, **{k: x[k] for k in names}} for n, x in nodes.items()])
+    table = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<node int, {fields}>>")).alias("x")).select("x.*")
     return rows.join(F.broadcast(table), "node")
 
 
