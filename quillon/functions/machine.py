@@ -233,6 +233,46 @@ def minify(b: bytes, node: Node) -> str:
     return minify_text(b[node.start : node.end].decode("utf-8"))
 
 
+PREVIEW, FIELD = 120, 24  # characters of a row's preview, and of one text in it
+
+
+def _short(s: str, most: int) -> str:
+    return s if len(s) <= most else s[:most] + "…"
+
+
+def preview(b: bytes, node: Node) -> tuple[str, bool]:
+    """(``id: 0, tags: […]``, whether more was left out): the first members or elements, or a scalar's text."""
+    if node.kind not in ("object", "array"):
+        s = unescape(b[node.start : node.end]) if node.kind == "string" else b[node.start : node.end].decode()
+        return s[:PREVIEW], len(s) > PREVIEW
+    out, size = [], 0
+    for it in node.items:
+        if size >= PREVIEW:
+            return ", ".join(out), True
+        key, child = (it[0], it[2]) if node.kind == "object" else (None, it)
+        if child.kind in ("object", "array"):
+            s = "{…}" if child.kind == "object" else "[…]"
+        elif child.kind == "string":
+            s = f'"{_short(unescape(b[child.start : child.end]), FIELD)}"'
+        else:
+            s = b[child.start : child.end].decode()
+        out.append(s if key is None else f"{_short(key, FIELD)}: {s}")
+        size += len(out[-1]) + (2 if len(out) > 1 else 0)
+    return ", ".join(out), False
+
+
+def begins_value(b: bytes) -> bool:
+    """Whether a value begins before the text goes wrong: a container opens, or a scalar is complete."""
+    at = _SPACE.match(b, 3 if b.startswith(b"\xef\xbb\xbf") else 0).end()
+    if b[at : at + 1] in (b"{", b"["):
+        return True
+    try:
+        read_value(b, at)
+    except JsonError:
+        return False
+    return True
+
+
 def pretty(b: bytes, node: Node, indent: int = 2) -> str:
     out: list[str] = []
     todo: list = [(node, 0)]

@@ -47,3 +47,34 @@ def grouped(n: int) -> str:
 
 def count_of(n: int, exact: bool = True) -> str:
     return "empty" if exact and not n else f"{grouped(n)}{'' if exact else '+'} item{'' if n == 1 and exact else 's'}"
+
+
+def summary_of(kind: str, fields: str, more: bool) -> str:
+    """A row's one line: containers in their brackets."""
+    a, z = {"object": ("{ ", " }"), "array": ("[ ", " ]")}.get(kind, ("", ""))
+    return f"{a}{fields}{', …' if more and fields else ''}{z}" if a and fields else (a + z).replace("  ", "") if a else fields + ("…" if more else "")
+
+
+def share_of(part: int, whole: int) -> str:
+    return "–" if not whole else f"{100 * part / whole:.1f} %"
+
+
+def rate(n_bytes: int, seconds: float) -> str:
+    return "–" if seconds <= 0 else f"{human_bytes(int(n_bytes / seconds))}/s"
+
+
+def human_duration(seconds: float) -> str:
+    for unit, size in (("ns", 1e-6), ("µs", 1e-3), ("ms", 1.0)):
+        if seconds * 1000 < size * 1000:
+            return f"{seconds * 1000 / size:.0f} {unit}"
+    return f"{seconds:.2f} s" if seconds < 60 else f"{int(seconds // 60)} min {int(seconds % 60)} s"
+
+
+def find_status(matches: int, rows: int, current: int | None, limited: bool, literal: bool) -> str:
+    """What a search says of itself; only a literal search that stopped at its limit has a plus."""
+    if not matches:
+        return "no matches"
+    more = "+" if limited and literal else ""
+    place = f"{grouped(current + 1)} of " if current is not None else ""
+    what = "match" if matches == 1 and not more else "matches"
+    return f"{place}{grouped(matches)}{more} {what}" + (f" in {grouped(rows)} row{'' if rows == 1 else 's'}" if literal and rows != matches else "")

@@ -3,40 +3,54 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import machine
 from ..functions.tokens import is_json, minify
-from .core import _ID, _arrow
+from .core import _ID, _arrow, raw_bytes
+
+
+def _flagged(records: DataFrame, value: Column) -> DataFrame:
+    """source, rec, out, salvaged from bytes that begin with 1 where a record was kept as it is."""
+    rows = records.select("source", "rec", value.alias("v"))
+    return rows.select("source", "rec", F.expr("CAST(substring(v, 2) AS STRING)").alias("out"), (F.substring("v", 1, 1) == F.lit(b"1")).alias("salvaged"))
 
 
 def ndjson(records: DataFrame) -> DataFrame:
-    """source, rec, out, salvaged: one minified value a record."""
+    """source, rec, out, salvaged: one minified value a record; one that does not parse byte for byte, without blanks around it."""
     t = F.col("text")
     ok = F.coalesce(is_json(t), F.lit(False))
-    rows = records.select("source", "rec", F.when(ok, minify(t)).otherwise(F.btrim(t, F.lit(" \t\r\n"))).alias("out"), ok.alias("ok"), "text")
-    good = rows.where("ok").select("source", "rec", "out", F.lit(False).alias("salvaged"))
 
-    def exact(s, r, b, base, line):  # what the native check refuses may still be legal
-        try:
-            yield s, r, machine.minify(b, machine.read_document(b)), False
-        except machine.JsonError:
-            yield s, r, b.decode("utf-8", "replace").strip(" \t\r\n"), True
+    @F.arrow_udf("binary")
+    def exact(raw: pa.Array) -> pa.Array:  # what the native check refuses may still be legal
+        out = []
+        for b in raw.to_pylist():
+            try:
+                out.append(None if b is None else b"0" + machine.minify(b, machine.read_document(b)).encode("utf-8", "surrogatepass"))
+            except machine.JsonError:
+                out.append(b"1" + b.strip(b" \t\r\n"))
+        return pa.array(out, pa.binary())
 
-    return good.unionAll(_arrow(rows.where("not ok"), f"{_ID}, out string, salvaged boolean", exact))
+    refused = exact(F.when(~ok, raw_bytes(records)))
+    return _flagged(records, F.when(ok, F.concat(F.lit("0"), minify(t)).cast("binary")).otherwise(refused))
 
 
 def pretty(records: DataFrame, indent: int = 2) -> DataFrame:
     """source, rec, out, salvaged: indented values."""
 
-    def rows(s, r, b, base, line):
-        try:
-            yield s, r, machine.pretty(b, machine.read_document(b), indent), False
-        except machine.JsonError:
-            yield s, r, b.decode("utf-8", "replace").strip(" \t\r\n"), True
+    @F.arrow_udf("binary")
+    def exact(raw: pa.Array) -> pa.Array:
+        out = []
+        for b in raw.to_pylist():
+            try:
+                out.append(b"0" + machine.pretty(b, machine.read_document(b), indent).encode("utf-8", "surrogatepass"))
+            except machine.JsonError:
+                out.append(b"1" + b.strip(b" \t\r\n"))
+        return pa.array(out, pa.binary())
 
-    return _arrow(records, f"{_ID}, out string, salvaged boolean", rows)
+    return _flagged(records, exact(raw_bytes(records)))
 
 
 def _leaves(b: bytes):
@@ -68,10 +82,13 @@ def flatten(records: DataFrame) -> DataFrame:
     return _arrow(records, f"{_ID}, seq bigint, path string, cell string", rows)
 
 
+def _first_seen(records: DataFrame) -> DataFrame:
+    return flatten(records).groupBy("path").agg(F.min(F.struct("source", "rec", "seq")).alias("f"))
+
+
 def csv_columns(records: DataFrame) -> DataFrame:
     """path and its place: columns by first appearance over all records."""
-    first = flatten(records).groupBy("path").agg(F.min(F.struct("source", "rec", "seq")).alias("f"))
-    return first.select("path", F.col("f.rec").alias("first_rec"), F.col("f.seq").alias("first_seq"))
+    return _first_seen(records).select("path", F.col("f.rec").alias("first_rec"), F.col("f.seq").alias("first_seq"))
 
 
 def csv_cell(c: str | None) -> str:
@@ -83,7 +100,7 @@ def csv_cell(c: str | None) -> str:
 
 def csv(records: DataFrame, columns: list[str] | None = None) -> tuple[str, DataFrame]:
     """(header, rows source, rec, out). The header is one row a distinct column, which is what a CSV's width is bound by."""
-    columns = columns if columns is not None else [r.path for r in csv_columns(records).orderBy("first_rec", "first_seq").collect()]
+    columns = columns if columns is not None else [r.path for r in _first_seen(records).orderBy("f").collect()]
 
     def rows(s, r, b, base, line):
         got: dict = {}
@@ -94,25 +111,35 @@ def csv(records: DataFrame, columns: list[str] | None = None) -> tuple[str, Data
     return ",".join(csv_cell(k) for k in columns), _arrow(records, f"{_ID}, out string", rows)
 
 
-def write(records: DataFrame, path: str, kind: str = "ndjson") -> None:
-    """Write a folder of text files in record order: ndjson, json (an array over the files), json-pretty or csv."""
-    if kind == "csv":
-        head, out = csv(records)
-    else:
-        head, out = None, pretty(records) if kind == "json-pretty" else ndjson(records)
-    out = out.repartitionByRange("source", "rec").sortWithinPartitions("source", "rec")
-    last = out.agg(F.max(F.struct("source", "rec")).alias("m"), F.min(F.struct("source", "rec")).alias("f")).first()
-    line = F.col("out")
-    if last.m is None:
-        lines = records.sparkSession.createDataFrame([(head if head is not None else "[]" if kind != "ndjson" else "",)], "value string")
+def write(records: DataFrame, path: str, kind: str = "ndjson", indent: int = 2, wrap: bool = True) -> None:
+    """Write a folder of text files in record order: ndjson, json (an array over the files), json-pretty or csv.
+
+    Without ``wrap`` the values of json and json-pretty stand by themselves, one a line.
+    """
+    if kind not in ("ndjson", "json", "json-pretty", "csv"):
+        raise ValueError(f"no such format: {kind}")
+    wrap = wrap and kind.startswith("json")
+    head, out = csv(records) if kind == "csv" else (None, pretty(records, indent) if kind == "json-pretty" else ndjson(records))
+    if wrap and kind == "json-pretty":
+        out = out.withColumn("out", F.concat(F.lit(" " * indent), F.regexp_replace("out", "\n", "\n" + " " * indent)))
+    end = out.agg(F.max(F.struct("source", "rec")).alias("m"), F.min(F.struct("source", "rec")).alias("f")).first()
+    if end.m is None:
+        lines = records.sparkSession.createDataFrame([(head + "\r" if head is not None else "[]" if wrap else "",)], "value string")
         lines.where("value <> ''").coalesce(1).write.text(path)
         return
-    at = lambda r: (F.col("source").eqNullSafe(F.lit(r.source))) & (F.col("rec") == r.rec)
+    at = lambda r: F.col("source").eqNullSafe(F.lit(r.source)) & (F.col("rec") == r.rec)
+    # numbers said twice are told apart at both ends, so that there is one first row and one last
+    ends = at(end.f) | at(end.m)
+    turn = F.row_number().over(W.partitionBy("source", "rec").orderBy("out"))
+    last = F.count("*").over(W.partitionBy("source", "rec"))
+    few = out.where(ends).select("source", "rec", "out", turn.alias("turn"), last.alias("of"))
+    out = out.where(~ends).select("source", "rec", "out", F.lit(1).alias("turn"), F.lit(1).cast("long").alias("of")).unionAll(few)
+    first, final = at(end.f) & (F.col("turn") == 1), at(end.m) & (F.col("turn") == F.col("of"))
+    out = out.repartitionByRange("source", "rec", "turn").sortWithinPartitions("source", "rec", "turn")
+    line = F.col("out")
     if kind == "csv":
-        line = F.concat(F.when(at(last.f), F.lit(head + "\r\n")).otherwise(""), line, F.lit("\r"))
-    elif kind != "ndjson":
-        line = F.concat(F.when(at(last.f), F.lit("[")).otherwise(""), line, F.when(at(last.m), F.lit("]")).otherwise(","))
+        line = F.concat(F.when(first, F.lit(head + "\r\n")).otherwise(""), line, F.lit("\r"))
+    elif wrap:
+        feed = "\n" if kind == "json-pretty" else ""
+        line = F.concat(F.when(first, F.lit("[" + feed)).otherwise(""), line, F.when(final, F.lit(feed + "]")).otherwise(","))
     out.select(line.alias("value")).write.text(path)
-
-
-__all__ = ["pa"]

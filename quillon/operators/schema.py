@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import machine
+from ..functions.tokens import accepted, kind_of, with_variant
 from .core import _ID, _arrow
 
 TYPES = ("null", "boolean", "object", "array", "number", "string", "integer")
@@ -44,7 +46,21 @@ class Schema:
             raise SchemaError("`enum` must be an array")
         if any(isinstance(x, dict | list) for x in [*s.get("enum", []), s.get("const")]):
             raise SchemaError("`const` and `enum` support scalar values only")
+        for k in ("properties", "$defs", "definitions"):
+            if not isinstance(s.get(k, {}), dict):
+                raise SchemaError(f"`{k}` must be an object")
+        required = s.get("required", [])
+        if not isinstance(required, list) or not all(isinstance(x, str) for x in required):
+            raise SchemaError("`required` must be an array of strings")
+        for k in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"):
+            if k in s and (isinstance(s[k], bool) or not isinstance(s[k], int | float)):
+                raise SchemaError(f"`{k}` must be a number")
+        for k in ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"):
+            if k in s and (isinstance(s[k], bool) or not isinstance(s[k], int | float) or s[k] < 0 or s[k] != int(s[k])):
+                raise SchemaError(f"`{k}` must be a whole number")
         if "$ref" in s:
+            if not isinstance(s["$ref"], str):
+                raise SchemaError("`$ref` must be a string")
             self._target(s["$ref"])
         for k in ("properties", "$defs", "definitions"):
             for x in s.get(k, {}).values():
@@ -133,12 +149,99 @@ class Schema:
                     say(f"more than {s[high]} {what}")
 
 
+class _NotNative(Exception):
+    """A schema that the native check does not express."""
+
+
+def conforms(v: Column, s, schema: Schema, open_refs: tuple = ()) -> Column:
+    """Whether a variant satisfies a schema, as an expression without Python. It may refuse what is right, never the other way."""
+    if "$ref" in s if isinstance(s, dict) else False:
+        if s["$ref"] in open_refs:
+            raise _NotNative
+        return conforms(v, schema._target(s["$ref"]), schema, (*open_refs, s["$ref"]))
+    if isinstance(s, bool):
+        return F.lit(s)
+    kind = kind_of(v)
+    number, string = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    tests: list[Column] = []
+    types = [s["type"]] if isinstance(s.get("type"), str) else s.get("type", [])
+    if types:
+        of = [kind == t for t in types if t != "integer"]
+        if "integer" in types:
+            of.append((kind == "number") & (number == F.floor(number).cast("double")))
+        tests.append(_any(of))
+    num = [t for k, t in (("minimum", lambda m: number >= m), ("maximum", lambda m: number <= m), ("exclusiveMinimum", lambda m: number > m), ("exclusiveMaximum", lambda m: number < m)) if k in s for t in [t(float(s[k]))]]
+    num and tests.append((kind != "number") | _all(num))
+    size = F.char_length(string)
+    text = [t(int(s[k])) for k, t in (("minLength", lambda m: size >= m), ("maxLength", lambda m: size <= m)) if k in s]
+    text and tests.append((kind != "string") | _all(text))
+
+    def same(x) -> Column:
+        if x is None:
+            return kind == "null"
+        if isinstance(x, bool):
+            return (kind == "boolean") & (F.try_variant_get(v, "$", "boolean") == x)
+        return (kind == "string") & (string == x) if isinstance(x, str) else (kind == "number") & (number == float(x))
+
+    if "const" in s:
+        tests.append(same(s["const"]))
+    if "enum" in s:
+        tests.append(_any([same(x) for x in s["enum"]]))
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    inside: list[Column] = []
+    child = lambda name: F.try_variant_get(v, _path(name), "variant")
+    inside += [child(r).isNotNull() for r in s.get("required", [])]
+    inside += [child(k).isNull() | conforms(child(k), x, schema, open_refs) for k, x in s.get("properties", {}).items() if x is not True]
+    extra = s.get("additionalProperties", True)
+    if extra is not True:
+        known = [F.lit(k) for k in s.get("properties", {})]
+        other = F.map_filter(members, lambda k, _: ~k.isin(known)) if known else members
+        inside.append(F.size(other) == 0 if extra is False else F.forall(F.map_values(other), lambda x: conforms(x, extra, schema, open_refs)))
+    inside += [t(int(s[k])) for k, t in (("minProperties", lambda m: F.size(members) >= m), ("maxProperties", lambda m: F.size(members) <= m)) if k in s]
+    inside and tests.append((kind != "object") | _all(inside))
+    elements = F.try_variant_get(v, "$", "array<variant>")
+    rows = [t(int(s[k])) for k, t in (("minItems", lambda m: F.size(elements) >= m), ("maxItems", lambda m: F.size(elements) <= m)) if k in s]
+    if "items" in s and s["items"] is not True:
+        rows.append(F.forall(elements, lambda x: conforms(x, s["items"], schema, open_refs)))
+    rows and tests.append((kind != "array") | _all(rows))
+    return F.coalesce(_all(tests), F.lit(False))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _path(name: str) -> str:
+    if "'" in name or "\\" in name:
+        raise _NotNative
+    return f"$['{name}']"
+
+
 def check_schema(records: DataFrame, schema: Schema | str | dict) -> DataFrame:
-    """source, rec, offset, message of each failure; malformed records are left to validate."""
+    """source, rec, offset, message of each failure; malformed records are left to validate.
+
+    Records that conform by the native expression are done; the others are walked for their messages.
+    """
     compiled = schema if isinstance(schema, Schema) else Schema(schema)
 
     def rows(s, r, b, base, line):
         for at, message in compiled.check(b):
             yield s, r, base + at, message
 
+    text = F.col("text")
+    try:
+        fine = with_variant(text, lambda v: accepted(v, text) & F.coalesce(conforms(F.try_variant_get(v, "$[0]", "variant"), compiled.root, compiled), F.lit(False)))
+        records = records.where(~F.coalesce(fine, F.lit(False)))
+    except _NotNative:
+        pass
     return _arrow(records, f"{_ID}, offset bigint, message string", rows)
