@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import core, export, schema
+from .plans.dataset import JsonDataset
 from .sources.records import from_column
 
 
@@ -108,6 +112,59 @@ def _csv(s, d):
     return rows.select("rec", "out", F.lit(head).alias("header"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder below the one that all executors share; only a local session may have none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/json/{name}-{uuid.uuid4().hex}"
+
+
+def _file(df: DataFrame, key: str, text: str, name: str) -> str:
+    """The texts as one file in the order of the key; its pattern."""
+    path = _folder(df.sparkSession, name)
+    df.select(key, text).repartition(1).sortWithinPartitions(key).select(text).write.text(path)
+    return f"{path}/part-*"
+
+
+def _ndjson(s, d) -> JsonDataset:
+    return JsonDataset.open(s, _file(_t(s, d, "events"), "event_id", "props", "events"), "ndjson")
+
+
+def _joined(records: DataFrame, value: str, a: str, z: str, name: str) -> str:
+    one = records.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rec", F.expr(value).alias("v")))), lambda x: x["v"]), ",\n  ").alias("v"))
+    path = _folder(records.sparkSession, name)
+    one.select(F.concat(F.lit(a), "v", F.lit(z))).repartition(1).write.text(path)
+    return f"{path}/part-*"
+
+
+def _array_document(s, d) -> JsonDataset:
+    return JsonDataset.open(s, _joined(_parts(s, d), "text", "[\n  ", "\n]", "array"))
+
+
+def _object_document(s, d) -> JsonDataset:
+    return JsonDataset.open(s, _joined(_parts(s, d), """concat('"', rec, '": ', text)""", "{\n  ", "\n}", "object"))
+
+
+def _document_export(s, d):
+    path = _folder(s, "whole")
+    _object_document(s, d).export(path, "json")
+    return s.read.text(path)
+
+
+def _json_lines(s, d):
+    path = _folder(s, "lines")
+    export.write(_parts(s, d), path, "json")
+    return s.read.text(path)
+
+
+def _spaced_events(s, d):
+    return _events(s, d).withColumn("start", F.col("rec") * 20)
+
+
 QUERIES = {
     "filter_num_gt": _filter(_events, "@.k > 50"),
     "filter_and_or_not": _filter(_events, "(@.k >= 10 && @.k < 30) || !(@.k != 77)"),
@@ -124,7 +181,7 @@ QUERIES = {
     "filter_array_index": _filter(_parts, "@.tags[1] == 'Brand#11' || @.tags[7]"),
     "filter_malformed": _filter(_broken, "@.k != 1"),
     "filter_count": lambda s, d: core.filter_pass(_events(s, d), "@.k > 50")[1],
-    "filter_list": lambda s, d: _ids(core.filter_pass(_events(s, d), "@.k > 50", 100)[0]),
+    "filter_list": lambda s, d: _ids(core.filter_pass(_events(s, d), "@.k > 50")[0]),
     "conversation_docs": _filter(_conversations, "@.turns[0].role == 'system'"),
     "find_count_documents": _find_docs,
     "find_casefold_pages": _find_pages,
@@ -132,7 +189,23 @@ QUERIES = {
     "locate_offset_row": _locate,
     "validate_records": lambda s, d: core.validate(_broken(s, d)).select("rec"),
     "validate_positions": lambda s, d: core.validate(_broken(s, d)).select("rec", "offset", "line", "column"),
-    "validate_summary": lambda s, d: core.validate_summary(_broken(s, d)),
+    "validate_summary": lambda s, d: core.validate_summary(_broken(s, d)).select("checked", "records", "invalid", "is_valid"),
+    "validate_values": lambda s, d: core.validate_summary(_broken(s, d)).select("values"),
+    "validate_messages": lambda s, d: core.validate(_broken(s, d)).select("rec", "message"),
+    "validate_listed": lambda s, d: core.capped(core.validate(_broken(s, d)))[0].select("rec", "offset"),
+    "validate_total": lambda s, d: core.capped(core.validate(_broken(s, d)))[1],
+    "rows_fields": lambda s, d: core.rows(_parts(s, d), 100, 50).select("rec", "fields", "more"),
+    "find_from_offset": lambda s, d: core.find_offsets(_spaced_events(s, d), "7", True, None, 5000).select("rec", "offset"),
+    "find_next": lambda s, d: core.find_next(_spaced_events(s, d), "7", 5000, True).select("rec", "offset", "wrapped"),
+    "find_previous": lambda s, d: core.find_next(_spaced_events(s, d), "7", 0, True, back=True).select("rec", "offset", "wrapped"),
+    "position_in_view": lambda s, d: core.position(core.filter_records(_events(s, d), "@.k > 50"), 500),
+    "ndjson_spans": lambda s, d: _ndjson(s, d).records.select("rec", "line", "start", "stop", "text"),
+    "ndjson_filter": lambda s, d: _ids(_ndjson(s, d).filter("@.k > 50").records),
+    "ndjson_rows": lambda s, d: _ndjson(s, d).rows(200, 100).select("rec", "kind", "children", "fields"),
+    "document_filter": lambda s, d: _array_document(s, d).filter("@.size <= 10 && @.tags[1] >= 'Brand#2'").records.select("rec", "line"),
+    "document_members": lambda s, d: _object_document(s, d).filter("@.big == true").records.select("rec", "key"),
+    "document_export": _document_export,
+    "export_json_array": _json_lines,
     "schema_type": _schema(_nulls, {"properties": {"k": {"type": ["integer", "null"]}}}),
     "schema_required": _schema(_nulls, {"required": ["k"]}),
     "schema_enum": _schema(_parts, {"properties": {"brand": {"enum": ["Brand#11", "Brand#12"]}}}),
@@ -160,6 +233,9 @@ QUERIES = {
     "goto_path": lambda s, d: core.goto(_orders(s, d), "$.customer.segment").select("rec", "value"),
 }
 
+_SEVENS = "(SELECT event_id AS rec, event_id * 20 + i - 1 AS o FROM (SELECT event_id, props, unnest(range(1, length(props) + 1)) AS i FROM events) WHERE substring(props, i, 1) = '7')"
+_LINES = "(SELECT props, row_number() OVER w - 1 AS rec, (coalesce(sum(strlen(props) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM events WINDOW w AS (ORDER BY event_id))"
+_PART = """('{"id":' || p_partkey || ',"brand":"' || p_brand || '","size":' || p_size || ',"tags":["' || p_type || '","' || p_brand || '"],"big":' || (p_size > 25)::VARCHAR || '}')"""
 _BAD_KIND = "CASE WHEN event_id % 6 IN (0, 1, 2, 3) THEN 'invalid' ELSE 'object' END"
 ORACLE_SQL = {
     "filter_num_gt": f"SELECT event_id AS rec FROM events WHERE {_K} > 50",
@@ -177,7 +253,7 @@ ORACLE_SQL = {
     "filter_array_index": "SELECT p_partkey AS rec FROM part WHERE p_brand = 'Brand#11'",
     "filter_malformed": f"SELECT event_id AS rec FROM events WHERE event_id % 6 > 3 AND {_K} <> 1",
     "filter_count": f"SELECT count(*) AS total FROM events WHERE {_K} > 50",
-    "filter_list": f"SELECT event_id AS rec FROM events WHERE {_K} > 50 ORDER BY event_id LIMIT 100",
+    "filter_list": f"SELECT event_id AS rec FROM events WHERE {_K} > 50 ORDER BY event_id LIMIT 10000",
     "conversation_docs": "SELECT conv_id AS rec FROM (SELECT conv_id, arg_min(role, turn) AS r FROM conversations GROUP BY conv_id) WHERE r = 'system'",
     "find_count_documents": "SELECT doc_id AS rec, ((strlen(text) - strlen(replace(text, 'er ', ''))) // 3)::BIGINT AS matches FROM documents WHERE contains(text, 'er ')",
     "find_casefold_pages": "SELECT page_id AS rec, ((strlen(html) - strlen(replace(replace(html, '<p', ''), '<P', ''))) // 2)::BIGINT AS matches FROM pages WHERE contains(html, '<p') OR contains(html, '<P')",
@@ -186,6 +262,22 @@ ORACLE_SQL = {
     "validate_records": f"SELECT event_id AS rec FROM events WHERE NOT json_valid({_BROKEN})",
     "validate_positions": f"SELECT event_id AS rec, o AS \"offset\", 1::BIGINT AS line, o + 1 AS \"column\" FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN length(props) WHEN 1 THEN length(props) - 1 WHEN 2 THEN length(props) + 1 ELSE 6 END AS o FROM events WHERE event_id % 6 < 4)",
     "validate_summary": f"SELECT sum(strlen(j))::BIGINT AS checked, count(*) AS records, count(*) FILTER (NOT json_valid(j)) AS invalid, count(*) FILTER (NOT json_valid(j)) = 0 AS is_valid FROM (SELECT {_BROKEN} AS j FROM events)",
+    "validate_values": "SELECT count(*) AS values FROM events",
+    "validate_messages": "SELECT event_id AS rec, CASE event_id % 6 WHEN 0 THEN 'expected the end of the input, found `}`' WHEN 1 THEN 'input ended with 1 container(s) unclosed, innermost an object' WHEN 2 THEN 'a second top-level value; this input was read as a single document' ELSE 'numbers may not have leading zeros' END AS message FROM events WHERE event_id % 6 < 4",
+    "validate_listed": "SELECT event_id AS rec, CASE event_id % 6 WHEN 0 THEN length(props) WHEN 1 THEN length(props) - 1 WHEN 2 THEN length(props) + 1 ELSE 6 END AS \"offset\" FROM events WHERE event_id % 6 < 4 ORDER BY event_id LIMIT 1000",
+    "validate_total": "SELECT count(*) AS total FROM events WHERE event_id % 6 < 4",
+    "rows_fields": "SELECT p_partkey AS rec, 'id: ' || p_partkey || ', brand: \"' || p_brand || '\", size: ' || p_size || ', tags: […], big: ' || (p_size > 25)::VARCHAR AS fields, false AS more FROM part WHERE p_partkey >= 100 AND p_partkey < 150",
+    "find_from_offset": f"SELECT rec, o AS \"offset\" FROM {_SEVENS} WHERE o >= 5000",
+    "find_next": f"SELECT rec, o AS \"offset\", false AS wrapped FROM {_SEVENS} WHERE o > 5000 ORDER BY o LIMIT 1",
+    "find_previous": f"SELECT rec, o AS \"offset\", true AS wrapped FROM {_SEVENS} ORDER BY o DESC LIMIT 1",
+    "position_in_view": f"SELECT count(*) FILTER (event_id < 500) AS position, bool_or(event_id = 500) AS shown FROM events WHERE {_K} > 50",
+    "ndjson_spans": f"SELECT rec, rec + 1 AS line, start, start + strlen(props) AS stop, props AS text FROM {_LINES}",
+    "ndjson_filter": f"SELECT rec FROM {_LINES} WHERE {_K} > 50",
+    "ndjson_rows": f"SELECT rec, 'object' AS kind, 1::BIGINT AS children, 'k: ' || json_extract_string(props, '$.k') AS fields FROM {_LINES} WHERE rec >= 200 AND rec < 300",
+    "document_filter": "SELECT rec, rec + 2 AS line FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rec FROM part) WHERE p_size <= 10 AND p_brand >= 'Brand#2'",
+    "document_members": "SELECT rec, p_partkey::VARCHAR AS key FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rec FROM part) WHERE p_size > 25",
+    "document_export": f"SELECT '{{' || string_agg('\"' || p_partkey || '\":' || {_PART}, ',' ORDER BY p_partkey) || '}}' AS value FROM part",
+    "export_json_array": f"SELECT CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part) THEN '[' ELSE '' END || {_PART} || CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN ']' ELSE ',' END AS value FROM part",
     "schema_type": "SELECT event_id AS rec, 'expected integer or null, found string' AS message FROM events WHERE event_id % 4 = 2",
     "schema_required": "SELECT event_id AS rec, 'missing required property `k`' AS message FROM events WHERE event_id % 4 = 1",
     "schema_enum": "SELECT p_partkey AS rec, 'not one of the values in `enum`' AS message FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12')",
