@@ -280,16 +280,16 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     Ids are encoded where the texts lie; what is shuffled is ids (two bytes each
     for this vocabulary), to ranges of doc_id taken from quantiles. A task keeps one file
     (``file_tokens``) in memory. Returns the folder and (file, tokens) in order,
-    one for each ``shard_bytes`` of text or so.
+    one for each ``shard_bytes`` of text or so; of over 100 000 ranges, each gets longer, and has more files.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "codes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(10_000, max(1, total // shard_bytes)))
+    n = int(min(100_000, max(1, total // shard_bytes)))
     cuts = []
     if n > 1:
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000)).first()[0] or []))
+        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(100_000, 10 * n))).first()[0] or []))
 
     def encode(batches):
         enc = encoder(tokenizer)
