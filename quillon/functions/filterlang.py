@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import accepted, kind_of, with_variant
+from .tokens import accepted, kind_name, with_variant
 
 _FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
 _NUM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -231,36 +231,48 @@ def simple(e) -> bool:
     return all(isinstance(s, int) or not re.search(r"['\\\]]", s) for p in paths(e) for s in p)
 
 
-def to_column(e, v: Column, root: str = "$[0]") -> Column:
-    """A predicate over a variant that is never NULL."""
+def to_column(e, read: dict[tuple, Column]) -> Column:
+    """A predicate over what is read at each path (``v``: a variant, ``s``: its schema) that is never NULL."""
     if isinstance(e, Not):
-        return ~to_column(e.inner, v, root)
+        return ~to_column(e.inner, read)
     if isinstance(e, Both):
         out = None
         for x in e.parts:
-            c = to_column(x, v, root)
+            c = to_column(x, read)
             out = c if out is None else (out & c if e.op == "and" else out | c)
         return out
-    x = F.try_variant_get(v, variant_path(e.path, root), "variant")
+    x = read[e.path]["v"]
     if isinstance(e, Exists):
         return x.isNotNull()
-    kind = kind_of(x)
+    kind = kind_name(read[e.path]["s"])
     if e.kind == "null":
         same, eq, less = kind == "null", F.lit(True), F.lit(False)
     else:
         want, spark = {"number": ("number", "double"), "text": ("string", "string"), "bool": ("boolean", "boolean")}[e.kind]
-        got = F.try_variant_get(v, variant_path(e.path, root), spark)
+        got = F.try_variant_get(x, "$", spark)
         same, eq, less = kind == want, got == F.lit(e.value), got < F.lit(e.value)
     same, eq, less = (F.coalesce(c, F.lit(False)) for c in (same, eq, less))
     return {"==": same & eq, "!=": ~(same & eq), "<": same & less, "<=": same & (less | eq), ">": same & ~less & ~eq, ">=": same & ~less}[e.op]
 
 
 def predicate(e, text: Column) -> tuple[Column, Column]:
-    """(whether the native parser accepts the record, whether it then matches): one parse for both."""
-    both = with_variant(text, lambda v: F.struct(accepted(v, text).alias("ok"), to_column(e, v).alias("hit")))
+    """(whether the native parser accepts the record, whether it then matches)."""
+    both = checked(e, text)
     return both["ok"], both["hit"]
 
 
+def checked(e, text: Column, root: str = "$[0]") -> Column:
+    """ok and hit, with one parse of the record and one reading of each path."""
+    where = list(dict.fromkeys(paths(e)))
+
+    def within(v: Column) -> Column:
+        got = [F.try_variant_get(v, variant_path(p, root), "variant") for p in where]
+        read = F.struct(*[F.struct(x.alias("v"), F.schema_of_variant(x).alias("s")).alias(f"p{i}") for i, x in enumerate(got)])
+        return F.transform(F.array(read), lambda r: F.struct(accepted(v, text).alias("ok"), to_column(e, {p: r[f"p{i}"] for i, p in enumerate(where)}).alias("hit")))[0]
+
+    return with_variant(text, within)
+
+
 def _find(b: bytes, node, path: tuple):
     for s in path:
         if isinstance(s, int):

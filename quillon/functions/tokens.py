@@ -42,8 +42,12 @@ def is_json(text: Column) -> Column:
 
 def kind_of(x: Column) -> Column:
     """object, array, string, number, boolean, null of a variant; NULL for nothing."""
-    s = F.schema_of_variant(x)
+    return kind_name(F.schema_of_variant(x))
+
+
+def kind_name(s: Column) -> Column:
+    """The same from ``schema_of_variant``, for one reading of it."""
     return (
-        F.when(x.isNull(), F.lit(None).cast("string")).when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+        F.when(s.isNull(), F.lit(None).cast("string")).when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
         .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
     )

@@ -59,11 +59,7 @@ def filter_records(records: DataFrame, expression: str) -> DataFrame:
     """Records that are well-formed and satisfy the expression; one scan, and only what the native check refuses has bytes for the exact one."""
     e = filterlang.parse(expression)
     text = F.col("text")
-    if filterlang.simple(e):
-        ok, hit = filterlang.predicate(e, text)
-    else:
-        ok, hit = F.lit(False), F.lit(False)
-
+    none = F.struct(F.lit(False).alias("ok"), F.lit(False).alias("hit"))
     @F.arrow_udf("boolean")
     def exact(raw: pa.Array) -> pa.Array:
         out = []
@@ -74,8 +70,9 @@ def filter_records(records: DataFrame, expression: str) -> DataFrame:
                 out.append(False)
         return pa.array(out, pa.bool_())
 
-    none = F.struct(F.lit(False).alias("ok"), F.lit(False).alias("hit"))
-    checked = records.withColumn("_b", F.when(text.isNull(), none).otherwise(F.struct(ok.alias("ok"), hit.alias("hit"))))
+    native = F.when(text.isNotNull(), filterlang.checked(e, text)) if filterlang.simple(e) else none
+    checked = records.withColumn("_b", F.coalesce(native, none))
+    exact = exact.asNondeterministic()  # it stays in a projection of its own, below the filter
     checked = checked.withColumn("_x", exact(F.when(~F.col("_b.ok"), raw_bytes(records))))
     return checked.where(F.when(F.col("_b.ok"), F.col("_b.hit")).otherwise(F.col("_x"))).select(records.columns)
 
@@ -112,6 +109,7 @@ def find_counts(records: DataFrame, needle: str, case_sensitive: bool = False) -
         def exact(raw: pa.Array) -> pa.Array:
             return pa.array([0 if b is None else _folded(b, case_sensitive).count(sought) for b in raw.to_pylist()], pa.int64())
 
+        exact = exact.asNondeterministic()  # as in filter_records
         count = F.when(F.col("text").isNull(), exact(F.when(F.col("text").isNull(), F.col("raw")))).otherwise(count)
     return records.withColumn("matches", count).where("matches > 0")
 

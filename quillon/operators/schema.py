@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import machine
-from ..functions.tokens import accepted, kind_of, with_variant
+from ..functions.tokens import accepted, kind_name, with_variant
 from .core import _ID, _arrow
 
 TYPES = ("null", "boolean", "object", "array", "number", "string", "integer")
@@ -161,7 +161,11 @@ def conforms(v: Column, s, schema: Schema, open_refs: tuple = ()) -> Column:
         return conforms(v, schema._target(s["$ref"]), schema, (*open_refs, s["$ref"]))
     if isinstance(s, bool):
         return F.lit(s)
-    kind = kind_of(v)
+    bound = F.array(F.struct(v.alias("v"), F.schema_of_variant(v).alias("s")))  # read once, however often it is used
+    return F.transform(bound, lambda x: _conforms(x["v"], kind_name(x["s"]), s, schema, open_refs))[0]
+
+
+def _conforms(v: Column, kind: Column, s: dict, schema: Schema, open_refs: tuple) -> Column:
     number, string = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
     tests: list[Column] = []
     types = [s["type"]] if isinstance(s.get("type"), str) else s.get("type", [])
@@ -189,9 +193,13 @@ def conforms(v: Column, s, schema: Schema, open_refs: tuple = ()) -> Column:
         tests.append(_any([same(x) for x in s["enum"]]))
     members = F.try_variant_get(v, "$", "map<string,variant>")
     inside: list[Column] = []
+
+    def absent_or(c: Column, x) -> Column:
+        return F.transform(F.array(c), lambda one: one.isNull() | conforms(one, x, schema, open_refs))[0]
+
     child = lambda name: F.try_variant_get(v, _path(name), "variant")
     inside += [child(r).isNotNull() for r in s.get("required", [])]
-    inside += [child(k).isNull() | conforms(child(k), x, schema, open_refs) for k, x in s.get("properties", {}).items() if x is not True]
+    inside += [absent_or(child(k), x) for k, x in s.get("properties", {}).items() if x is not True]
     extra = s.get("additionalProperties", True)
     if extra is not True:
         known = [F.lit(k) for k in s.get("properties", {})]
