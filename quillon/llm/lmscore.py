@@ -16,9 +16,9 @@ occurrence left out of its count.
 
 Everything learnt grows with the input. Symbol counts, shares, classes and their
 contexts cover every training document, long ones too. The net starts on the driver from
-about ``sample_bytes`` of windows (its start only) and then learns from one window in ``STRIDE``, all through the training
+about ``sample_bytes`` of windows (its start only) and then learns from every window of the training
 documents not held, however long they are: in ``ROUNDS`` rounds, tasks take steps over their windows and their nets are
-averaged. (Steps over every window take about 2.8 times the CPU time that this operator has; see the README.)
+averaged.
 
 Counts of the ``frequent`` most frequent words (that bound is the broadcast's) go
 to the tasks; words beyond them are joined with the whole table of counts, so every word is
@@ -45,7 +45,9 @@ from .words import NOT_SPACE, Words, give_back, reuse_memory, text_bytes, text_s
 T, S, D, H, SINGLES, CLUSTERS, OWN = 48, 40, 16, 24, 32, 32, 4096
 KINDS = 4  # first or later, last or not: of a word's symbols
 CLASSES = SINGLES + CLUSTERS
-HELD, ROUNDS, REACH, BINS, STRIDE, SLOT_BITS = 16, 4, 6, 64, 4, 22
+HELD, ROUNDS, REACH, BINS, SLOT_BITS = 16, 4, 6, 64, 22
+STRIDE, TOGETHER = 1, 4096  # the net learns from every window; so many are stored together
+PARTS = [f"f{i}" for i in range(ROUNDS)]
 
 
 # ---------------------------------------------------------------- symbols
@@ -117,6 +119,25 @@ def frames(sym: np.ndarray, n_doc: np.ndarray, doc: np.ndarray, at: np.ndarray)
     return rows, place[:, T - S + 1 :]
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """``frames`` as their halves in 16 bits (32, for a very large vocabulary) and the lowest bits, eight to a byte."""
+    up = rows.ravel() + 2
+    half = up >> 1
+    wide = bool(len(half)) and int(half.max()) > 0xFFFF
+    return bytes([wide]) + half.astype("<u4" if wide else "<u2").tobytes() + np.packbits(up & 1).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size = 4 if raw[0] else 2
+    n = (len(raw) - 1) * 8 // (8 * size + 1)  # each has its half and a bit
+    n -= n % (T + 1)
+    half = np.frombuffer(raw, f"<u{size}", n, 1).astype(np.int32)
+    half *= 2
+    half += np.unpackbits(np.frombuffer(raw, np.uint8, offset=1 + n * size), count=n)
+    half -= 2
+    return half.reshape(-1, T + 1)
+
+
 # ---------------------------------------------------------------- the model
 #: highest score of a key for each query; none for keys that come later
 _CAP = np.where(np.arange(T)[None, :] <= np.arange(T - S, T)[:, None], 30, -1e9).astype(np.float32)
@@ -125,6 +146,27 @@ _CAP = np.where(np.arange(T)[None, :] <= np.arange(T - S, T)[:, None], 30, -1e9)
 _ONES = np.ones((max(T, CLASSES), 1), np.float32)
 
 
+def _with_bias(w: np.ndarray, bias: np.ndarray, more: int = 0) -> np.ndarray:
+    """Weights and, for a unit that is always one, biases; with ``more``, that unit also comes out."""
+    out = np.zeros((len(w) + 1, len(bias) + more), np.float32)
+    out[:-1, : len(bias)], out[-1, : len(bias)], out[-1, len(bias) :] = w, bias, 1
+    return out
+
+
+def _exponentials(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of z @ w, up to a factor for each row, and the rows' sums; rows are brought to their highest only where some leave the range."""
+    y = z @ w
+    if y.max(initial=0) <= 80:
+        np.exp(y, out=y)
+        each = y @ _ONES[:CLASSES, 0]
+        if each.min(initial=1) > 1e-30:
+            return y, each
+        y = z @ w
+    y -= y.max(1, keepdims=True)
+    np.exp(y, out=y)
+    return y, y @ _ONES[:CLASSES, 0]
+
+
 class Attention:
     """Input ids (windows by T) to class probabilities at the last S positions."""
 
@@ -171,66 +213,88 @@ class Attention:
         return (got - np.log(y @ _ONES[:CLASSES, 0])).reshape(target.shape)
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the used targets, and its gradients; all products but attention's are of two plain matrices."""
+        """Mean loss over the used targets, and its gradients; all products but attention's are of two plain matrices.
+
+        Attention's rows are never divided by their sums: values have a component that is always one, so the sums come with the products, and the products are divided.
+        """
         p, b, root = self.p, len(ids), np.float32(math.sqrt(D))
         x = p["E"].take(ids, 0)
         x += p["P"]
-        xq = np.ascontiguousarray(x[:, T - S :])
-        fx, fq = x.reshape(-1, D), xq.reshape(-1, D)
-        q, k, v = (fq @ (p["Wq"] / root)).reshape(b, S, D), (fx @ p["Wk"]).reshape(b, T, D), (fx @ p["Wv"]).reshape(b, T, D)
+        fx, fq = x.reshape(-1, D), x[:, T - S :].reshape(-1, D)
+        wq = p["Wq"] / root
+        q, k = (fq @ wq).reshape(b, S, D), (fx @ p["Wk"]).reshape(b, T, D)
+        v = np.empty((b, T, D + 1), np.float32)
+        v[:, :, D] = 1
+        v[:, :, :D] = (fx @ p["Wv"]).reshape(b, T, D)
         a = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(a, _CAP, out=a)
         np.exp(a, out=a)
-        fa = a.reshape(-1, T)
-        fa /= fa @ _ONES[:T]
-        h = np.matmul(a, v).reshape(-1, D)
-        h += fq
-        z = h @ p["W1"]
-        z += p["b1"]
+        h = np.matmul(a, v).reshape(-1, D + 1)
+        total = h[:, D:].copy()
+        h /= total  # its last component is one, the biases' unit
+        att = h[:, :D].copy()
+        h[:, :D] += fq
+        z = h @ _with_bias(p["W1"], p["b1"], 1)
         np.maximum(z, 0, out=z)
-        y = z @ p["Wo"]
-        y += p["bo"]
-        y -= y.max(1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y @ _ONES[:CLASSES]
-        rows, want, weight = np.arange(len(y)), target.ravel(), use.ravel().astype(np.float32)
+        y, each = _exponentials(z, _with_bias(p["Wo"], p["bo"]))
+        want, weight = target.ravel() + np.arange(0, y.size, CLASSES), use.ravel().astype(np.float32)
         n = max(1.0, float(weight.sum()))
-        loss = -float((np.log(y[rows, want] + 1e-30) * weight).sum()) / n
-        y[rows, want] -= 1
-        y *= (weight / np.float32(n))[:, None]
+        flat = y.reshape(-1)
+        loss = -float((np.log(flat[want] / each + 1e-30) * weight).sum()) / n
+        weight /= np.float32(n)
+        y *= (weight / each)[:, None]
+        flat[want] -= weight
         dz = y @ p["Wo"].T
-        dz *= z > 0
+        dz *= z[:, :H] > 0
         dh = dz @ p["W1"].T
-        g = {"Wo": z.T @ y, "bo": y.sum(0), "W1": h.T @ dz, "b1": dz.sum(0)}
-        dh3 = dh.reshape(b, S, D)
-        ds = np.matmul(dh3, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh3).reshape(-1, D)
-        fs = ds.reshape(-1, T)
-        fs -= np.einsum("ij,ij->i", fs, fa)[:, None]
+        go, g1 = z.T @ y, h.T @ dz
+        g = {"Wo": go[:H], "bo": go[H], "W1": g1[:D], "b1": g1[D]}
+        part = np.empty((len(dh), D + 1), np.float32)
+        np.divide(dh, total, out=part[:, :D])
+        np.negative(np.einsum("ij,ij->i", part[:, :D], att), out=part[:, D])
+        part = part.reshape(b, S, D + 1)
+        ds = np.matmul(part, v.transpose(0, 2, 1))
         ds *= a
+        dv = np.matmul(a.transpose(0, 2, 1), part[:, :, :D]).reshape(-1, D)
         dq, dk = np.matmul(ds, k).reshape(-1, D), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, D)
         g |= {"Wq": fq.T @ dq / root, "Wk": fx.T @ dk, "Wv": fx.T @ dv}
         dx = dk @ p["Wk"].T
         dx += dv @ p["Wv"].T
-        dh += dq @ (p["Wq"].T / root)
+        dh += dq @ wq.T
         dx.reshape(b, T, D)[:, T - S :] += dh.reshape(b, S, D)
         g["P"] = dx.reshape(b, T, D).sum(0)
         g["E"] = np.zeros_like(p["E"])
-        order = np.argsort(ids, axis=None, kind="stable")
-        at = ids.ravel()[order]
+        at = ids.ravel().astype(np.uint16 if len(p["E"]) <= 1 << 16 else np.int64)  # short ones are sorted by their digits
+        order = np.argsort(at, kind="stable")
+        at = at[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         g["E"][at[first]] = np.add.reduceat(dx[order], first)
         return loss, g
 
     def step(self, state: dict, ids: np.ndarray, target: np.ndarray, use: np.ndarray, rate: float) -> float:
-        """One step of Adam; ``state`` is empty at first."""
+        """One step of Adam; ``state`` is empty at first. All weights lie in one array, and so do their means."""
+        if not state:
+            flat = np.concatenate([v.ravel() for v in self.p.values()])
+            ends = np.cumsum([v.size for v in self.p.values()])
+            self.p = {k: flat[e - v.size : e].reshape(v.shape) for (k, v), e in zip(self.p.items(), ends, strict=True)}
+            state |= {"t": 0, "flat": flat, "m": np.zeros_like(flat), "s": np.zeros_like(flat)}
         loss, g = self.gradients(ids, target, use)
-        t = state["t"] = state.get("t", 0) + 1
-        for k, v in g.items():
-            m, s = state.setdefault(k, (np.zeros_like(v), np.zeros_like(v)))
-            m += 0.1 * (v - m)
-            s += 0.01 * (v * v - s)
-            self.p[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        t = state["t"] = state["t"] + 1
+        m, s, g = state["m"], state["s"], np.concatenate([g[k].ravel() for k in self.p])
+        m *= np.float32(0.9)  # ten times the mean, and a hundred times the squares' mean
+        m += g
+        g *= g
+        s *= np.float32(0.99)
+        s += g
+        if t % 256 == 0:  # what fades away is none, and takes no slow arithmetic
+            m[np.abs(m) < 1e-30] = 0
+            s[s < 1e-30] = 0
+        np.sqrt(s, out=g)
+        g *= np.float32(0.1 / math.sqrt(1 - 0.99**t))
+        g += np.float32(1e-8)
+        np.divide(m, g, out=g)
+        g *= np.float32(0.1 * rate / (1 - 0.9**t))
+        state["flat"] -= g
         return loss
 
     def train(self, ids: np.ndarray, target: np.ndarray, use: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01, seed: int = 2) -> float:
@@ -412,7 +476,7 @@ def _strings(raw: pa.Array) -> pa.Array:
 
 
 def encoded(learn: DataFrame, m: Model, col: np.ndarray) -> DataFrame:
-    """One pass over the training documents: rows (turn, frames), the windows that the net learns from, a slice each; and rows (k, c), counts over all.
+    """One pass over the training documents: rows with every window that the net learns from, ``packed`` by the round in which it does (f0, f1, ...); and rows (k, c), counts over all.
 
     k is a ``contexts`` key, or beyond these a symbol, or beyond these a symbol that begins a token.
     """
@@ -420,7 +484,7 @@ def encoded(learn: DataFrame, m: Model, col: np.ndarray) -> DataFrame:
 
     def run(batches):
         model, of = shared.value
-        n, seen, turn = len(of), 0, 0
+        n, turn = len(of), 0
         near, every = np.zeros(n * SINGLES, np.int64), np.zeros(2 * n, np.int64)
         for rb in text_slices(batches):
             _, _, _, sym, n_doc, first, *_ = model.symbols(rb)
@@ -429,22 +493,20 @@ def encoded(learn: DataFrame, m: Model, col: np.ndarray) -> DataFrame:
             every += np.concatenate([np.bincount(sym, minlength=n), np.bincount(sym[first], minlength=n)])
             use = np.array(rb.column("learns").to_pylist(), bool)
             doc, at = windows(np.where(use, n_doc, 0))
-            mine = np.arange(-seen % STRIDE, len(doc), STRIDE)
-            seen += len(doc)
-            for part in range(ROUNDS):  # each round has its share of every slice
-                now = mine[part::ROUNDS]
-                if len(now):
-                    raw = frames(sym, n_doc, doc[now], at[now])[0].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([(turn + part) % ROUNDS], pa.int64()), pa.array([raw], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["turn", "frames", "k", "c"])
-            turn += 1
+            for x in range(0, len(doc), ROUNDS * TOGETHER):
+                y = min(len(doc), x + ROUNDS * TOGETHER)
+                share = [np.arange(x + (part - turn) % ROUNDS, y, ROUNDS) for part in range(ROUNDS)]  # each round has its share of every slice
+                raw = [pa.array([packed(frames(sym, n_doc, doc[now], at[now])[0])], pa.binary()) for now in share]
+                yield pa.RecordBatch.from_arrays([*raw, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], [*PARTS, "k", "c"])
+                turn += 1
         near = np.concatenate([near, every])
         at = np.flatnonzero(near)
         for a in range(0, len(at), 1 << 16):
             k = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(near[k])], ["turn", "frames", "k", "c"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(k), pa.binary())] * ROUNDS, pa.array(k), pa.array(near[k])], [*PARTS, "k", "c"])
 
     rows = learn.select(F.col("text").cast("string").alias("text"), (~_held()).alias("learns"))
-    return save(rows.mapInArrow(run, schema(turn=LONG, frames=BIN, k=LONG, c=LONG)), "encoded")
+    return save(rows.mapInArrow(run, schema(**dict.fromkeys(PARTS, BIN), k=LONG, c=LONG)), "encoded")
 
 
 def _held() -> Column:
@@ -452,7 +514,7 @@ def _held() -> Column:
 
 
 def learn_all(m: Model, streams: DataFrame, batch: int = 64, rate: float = 0.005) -> None:
-    """The net learns from every window of ``streams(turn, frames)`` once, a turn at a time."""
+    """The net learns from every window of ``streams(f0, f1, ...)`` once, a column at a time."""
     names = sorted(m.net.p)
     m.windows = 0
     adders = max(1, math.isqrt(streams.rdd.getNumPartitions()))
@@ -468,8 +530,8 @@ def learn_all(m: Model, streams: DataFrame, batch: int = 64, rate: float = 0.005
             net = Attention(1)
             net.p = {k: v.copy() for k, v in model.net.p.items()}
             for rb in batches:
-                for raw in rb.column("frames"):
-                    ids, target, ok = model.inputs(np.frombuffer(raw.as_buffer(), np.int32).reshape(-1, T + 1))
+                for raw in rb.column(0):
+                    ids, target, ok = model.inputs(unpacked(raw.as_buffer()))
                     order = r.permutation(len(ids))
                     for a in range(0, len(ids), batch):
                         w = order[a : a + batch]
@@ -488,7 +550,7 @@ def learn_all(m: Model, streams: DataFrame, batch: int = 64, rate: float = 0.005
                 yield _parts([n], [total])
 
         kinds = schema(n=LONG, p=BIN)
-        got = streams.where(F.col("turn") == turn).select("frames").mapInArrow(run, kinds).repartition(adders).mapInArrow(add, kinds).collect()
+        got = streams.select(PARTS[turn]).where(F.col(PARTS[turn]).isNotNull()).mapInArrow(run, kinds).repartition(adders).mapInArrow(add, kinds).collect()
         n = sum(x.n for x in got)
         if n:
             flat, at = sum(np.frombuffer(x.p, np.float64) for x in got) / n, 0
@@ -551,16 +613,15 @@ def fit(docs: DataFrame, train: Column, tokenizer: str, sample_bytes: int = 2_00
     m.input_of = OWN + m.kind
     m.input_of[np.argsort(-m.counts, kind="stable")[:OWN]] = np.arange(OWN)
     m.net = Attention(OWN + CLASSES + 2)
-    streams = rows.where("frames is not null").select("turn", "frames")
     first, held = [], 0
-    for r in streams.select("frames").toLocalIterator():  # where the net starts; it learns from all of them below
-        first.append(np.frombuffer(r.frames, np.int32).reshape(-1, T + 1))
-        held += first[-1].nbytes
+    for r in rows.select(*PARTS).where("f0 is not null").toLocalIterator():  # where the net starts; it learns from all of them below
+        first += map(unpacked, r)
+        held += sum(x.nbytes for x in first[-ROUNDS:])
         if held >= sample_bytes:
             break
     if first:
         m.loss = m.net.train(*m.inputs(np.concatenate(first)), steps)
-    learn_all(m, streams)
+    learn_all(m, rows)
     drop(rows)
     m.weight = _mixture(m, learn.where(_held()), counts)
     return m, counts

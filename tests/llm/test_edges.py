@@ -129,3 +129,33 @@ def test_a_very_long_document_is_removed_word_by_word(spark):
     n = len(rows[1][1].split())
     whole = rows[1][1].split()[-1] == f"w{n - 2}"
     assert got[1] == (300_000, 0) and got[3] == (1, 0) and got[2] == (n, n - 1 if whole else n - 2)
+
+
+def test_the_net_learns_from_every_window(spark):
+    texts = [*(f"w{i} " * (i % 90) for i in range(120)), "long words " * 30_000]
+    d, train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crc32_of_id() % 10 != 0
+    learns = [r.text for r in d.where(train).where(~lmscore._held()).select("text").collect()]
+    sub = lmscore.Subwords(tokenizer_path())
+    every = sum(-(-(len(sub.flat(t.split())[0]) + 1) // lmscore.S) for t in learns)
+    m, _ = lmscore.fit(d, train, tokenizer_path(), steps=2)
+    assert len(texts[-1].split()) in [len(t.split()) for t in learns] and m.windows == every
+
+
+@pytest.mark.parametrize("end", [100_514, 400_000])
+def test_windows_are_packed_and_read_back(end):
+    r = np.random.default_rng(8)
+    for n in [*range(12), 5000]:
+        rows = r.integers(-2, end + 1, (n, lmscore.T + 1)).astype(np.int32)
+        rows[:1, :3] = lmscore.PAD, lmscore.BEGIN, end
+        assert (got := lmscore.unpacked(lmscore.packed(rows))).shape == rows.shape and (got == rows).all()
+
+
+@pytest.mark.parametrize("bias", [0.0, 500.0, -500.0])
+def test_gradients_of_classes_far_from_zero(bias):
+    r = np.random.default_rng(9)
+    net = lmscore.Attention(50)
+    ids, target, use = r.integers(0, 50, (3, lmscore.T)), r.integers(0, lmscore.CLASSES, (3, lmscore.S)), np.ones((3, lmscore.S), bool)
+    loss, g = net.gradients(ids, target, use)
+    net.p["bo"] += np.float32(bias)  # all classes alike: nothing else changes
+    far, h = net.gradients(ids, target, use)
+    assert abs(far - loss) < 1e-3 and all(np.allclose(g[k], h[k], atol=1e-4) for k in g)
