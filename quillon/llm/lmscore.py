@@ -614,11 +614,14 @@ def fit(docs: DataFrame, train: Column, tokenizer: str, sample_bytes: int = 2_00
     m.input_of[np.argsort(-m.counts, kind="stable")[:OWN]] = np.arange(OWN)
     m.net = Attention(OWN + CLASSES + 2)
     first, held = [], 0
-    for r in rows.select(*PARTS).where("f0 is not null").toLocalIterator():  # where the net starts; it learns from all of them below
-        first += map(unpacked, r)
-        held += sum(x.nbytes for x in first[-ROUNDS:])
+    for part in PARTS:  # where the net starts; it learns from all of them below
         if held >= sample_bytes:
             break
+        for r in rows.select(part).where(F.col(part).isNotNull()).toLocalIterator():
+            first.append(unpacked(r[0]))
+            held += first[-1].nbytes
+            if held >= sample_bytes:
+                break
     if first:
         m.loss = m.net.train(*m.inputs(np.concatenate(first)), steps)
     learn_all(m, rows)
