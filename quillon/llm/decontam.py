@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import BIN, INT, LONG, STR, cleared, save, schema
-from .words import ALNUM, Words, text_bytes, text_slices
+from .words import ALNUM, Words, give_back, reuse_memory, text_bytes, text_slices
 
 WINDOW = 10
 GAP = 1 << 10
@@ -141,7 +141,7 @@ class Block:
         at[at == len(self.keys)] = 0
         return (self.keys[at] == key) & (places >= 0) if len(self.keys) else np.zeros(len(key), bool)
 
-    def phrases(self, terms: np.ndarray, limit: int = 1 << 21):
+    def phrases(self, terms: np.ndarray, limit: int = 1 << 18):
         """Occurrences of each row of ``terms`` as (row, place of its first word), in bounded batches."""
         lo, hi = self.span(terms)
         length = hi - lo
@@ -183,14 +183,20 @@ class Block:
         return np.searchsorted(self.begins, places, "right") - 1
 
 
-def matches(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
+MATCHES = T.StructType([*schema(block=LONG, row=INT, doc_id=LONG, n_words=LONG, spans=BIN).fields, T.StructField("items", T.ArrayType(LONG))])
+DIGESTS = schema(doc_id=LONG, n_words=LONG, n_hit=LONG, n_items=LONG, items_sha256=STR)
+
+
+def matches(index: DataFrame, phrases: Phrases, slop: int | None = None, digest: bool = False) -> DataFrame:
     """Per document: words, merged hit spans (within the document) and item ids; block and row say which row it is.
 
     Exact phrases, or with ``slop`` (less than GAP) the places where all words of a phrase are that close to its rarest word.
+    With ``digest``, the columns of the query from these, in the same Python worker.
     """
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches):
+        reuse_memory()
         todo = shared.value
         for rb in batches:
             for row in range(rb.num_rows):
@@ -211,11 +217,13 @@ def matches(index: DataFrame, phrases: Phrases, slop: int | None = None) -> Data
                 names = [[todo.item_ids[k] for k in sorted(items.get(d, ()))] for d in range(len(block.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rb.column("block")[row].as_py()] * len(n_words), pa.int64()), pa.array(np.arange(len(n_words), dtype=np.int32)), pa.array(block.doc_ids, pa.int64()), pa.array(n_words), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.int64()))],
-                    ["block", "row", "doc_id", "n_words", "spans", "items"],
+                    MATCHES.names,
                 )
+        give_back()
 
-    kinds = T.StructType([*schema(block=LONG, row=INT, doc_id=LONG, n_words=LONG, spans=BIN).fields, T.StructField("items", T.ArrayType(LONG))])
-    return index.mapInArrow(run, kinds)
+    if digest:
+        return index.mapInArrow(lambda batches: digests(run(batches)), DIGESTS)
+    return index.mapInArrow(run, MATCHES)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -232,31 +240,29 @@ def merge_spans(blobs: list[bytes]) -> list[list[int]]:
     return _merged([tuple(x) for b in blobs for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist()])
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """Columns of the query from ``matches`` rows (one per document)."""
-
-    def run(batches):
-        for rb in batches:
-            hit = [sum(b - a for a, b in merge_spans([x])) for x in rb.column("spans").to_pylist()]
-            items = [sorted({str(i) for i in x}) for x in rb.column("items").to_pylist()]
-            counts = [len(x) for x in rb.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), rb.column("n_words"), pa.array(hit, pa.int64()), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-            )
-
-    out = rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, schema(doc_id=LONG, n_words=LONG, n_hit=LONG, n_items=LONG, items_sha256=STR))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+def digests(batches):
+    """Columns of the query from batches of ``matches`` rows (one per document)."""
+    for rb in batches:
+        hit = [sum(b - a for a, b in merge_spans([x])) for x in rb.column("spans").to_pylist()]
+        items = [sorted({str(i) for i in x}) for x in rb.column("items").to_pylist()]
+        counts = [len(x) for x in rb.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [rb.column("doc_id"), rb.column("n_words"), pa.array(hit, pa.int64()), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])],
+            DIGESTS.names,
+        )
 
 
 def found(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000, slop: int | None = None) -> DataFrame:
-    """Rows of ``matches`` for a whole benchmark: the index is stored once, and read once for each part of the benchmark."""
+    """``digests`` for a whole benchmark: the index is stored once, and read once for each part of the benchmark.
+
+    A task has one Python worker, which matches (or merges) and digests: a second one would double what workers hold.
+    """
     index, parts = build_index(docs), benchmark_parts(items, part_words)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return matches(index, Phrases(first), slop)
+        return matches(index, Phrases(first), slop, digest=True).withColumn("contaminated", F.col("n_hit") > 0)
     got = [matches(index, Phrases(part), slop) for part in chain([first, second], parts)]
-    every, kinds = got[0], got[0].schema
+    every = got[0]
     for x in got[1:]:  # of the other parts, what they add
         every = every.unionAll(x.where("octet_length(spans) > 0"))
     one = every.groupBy("block", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), F.flatten(F.collect_list("items")).alias("items"))
@@ -264,15 +270,15 @@ def found(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000, slop:
     def join(batches):
         for rb in batches:
             spans = [np.array([y for x in merge_spans(v) for y in x], np.int64).tobytes() for v in rb.column("lists").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("block", "row", "doc_id", "n_words")), pa.array(spans, pa.binary()), rb.column("items")], kinds.names)
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("block", "row", "doc_id", "n_words")), pa.array(spans, pa.binary()), rb.column("items")], MATCHES.names)
 
-    return one.mapInArrow(join, kinds)
+    return one.mapInArrow(lambda batches: digests(join(batches)), DIGESTS).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def contamination(docs: DataFrame, items: DataFrame, part_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; each row has its own result."""
     with cleared(docs.sparkSession):
-        return save(digest(found(docs, items, part_words)), "hits", keep=True)
+        return save(found(docs, items, part_words), "hits", keep=True)
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, part_words: int = 1_000_000) -> DataFrame:
@@ -280,4 +286,4 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int, part_words: int = 1_
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be from 0 to {GAP - 1}")
     with cleared(docs.sparkSession):
-        return save(digest(found(docs, items, part_words, slop)), "near", keep=True)
+        return save(found(docs, items, part_words, slop), "near", keep=True)

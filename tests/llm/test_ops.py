@@ -314,6 +314,16 @@ def test_decontamination_of_repeated_ids_in_parts(spark, texts):
     assert one == many and len(one) == len(rows) and [r[-1] for r in one].count(True) == 3
 
 
+def test_decontamination_has_one_python_worker_a_task(spark, texts, monkeypatch):
+    items = spark.createDataFrame([(0, texts[5]), (1, texts[8])], "item_id long, text string")
+    plans, save = [], decontam.save
+    monkeypatch.setattr(decontam, "save", lambda df, name, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(df, name, **k))
+    for part_words, stages in ((1_000_000, 1), (3, 3)):  # a stage for each part, and one that merges these
+        decontam.contamination(docs(spark, texts), items, part_words)
+        lines = [x for x in plans[-1].splitlines() if "Project" not in x]
+        assert sum("MapInArrow" in x for x in lines) == stages and not any("MapInArrow" in a and "MapInArrow" in b for a, b in zip(lines, lines[1:], strict=False))
+
+
 def test_proximity(spark):
     r = np.random.default_rng(2)
     words = [[f"w{i}" for i in r.integers(0, 12, n)] for n in (40, 25, 3, 60)]
