@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 BATCH_BYTES = str(1 << 20)
 FILE_ROWS = 250_000
+#: Pages are measured from the first row on. By default they are from the hundredth, and the codecs keep direct buffers of the largest page in each task's thread, beside the heap: rows of a MB made pages of 30.
+PAGES = {"parquet.page.size.row.check.min": "1"}
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -58,7 +60,7 @@ def save(df: DataFrame, name: str, rows: int | None = None, keep: bool = False)
     if len(_open) > keep:
         _open[-1 - keep].append(path)
     with released(spark):
-        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.options(**PAGES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

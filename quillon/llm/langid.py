@@ -26,6 +26,7 @@ from .words import NOT_SPACE, Words, mix, text_bytes, text_slices
 ORDERS = (3, 4)
 BITS = 15
 SIZE = 1 << BITS
+SLICE = 1 << 18  # bytes of text at a time, as the n-grams of a byte take about a hundred
 _SKIP = np.zeros(256, dtype=np.uint8)
 _SKIP[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 1  # ASCII that is no letter
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, train: Column, docs_per_language: int = 4000) -> dict:
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for rb in text_slices(batches, limit=1 << 19):
+        for rb in text_slices(batches, limit=SLICE):
             lang = np.array(rb.column("lang").to_pylist(), dtype=object)
             buf, off = text_bytes(rb.column("text"))
             ids, owner, words = _features(buf, off)
@@ -146,7 +147,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         logp = shared.value
-        for rb in text_slices(batches, limit=1 << 19):
+        for rb in text_slices(batches, limit=SLICE):
             buf, off = text_bytes(rb.column("text"))
             ids, owner, words = _features(buf, off)
             like = np.zeros((len(words), len(langs)), np.float64)

@@ -4,10 +4,11 @@ import math
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import chat, langid, lmscore, substring, token_codes
-from quillon.llm.base import crc32_of_id
+from quillon.llm.base import crc32_of_id, save
 from quillon.llm.queries import tokenizer_path
 from quillon.llm.words import NOT_SPACE, Words, grams
 
@@ -159,3 +160,18 @@ def test_gradients_of_classes_far_from_zero(bias):
     net.p["bo"] += np.float32(bias)  # all classes alike: nothing else changes
     far, h = net.gradients(ids, target, use)
     assert abs(far - loss) < 1e-3 and all(np.allclose(g[k], h[k], atol=1e-4) for k in g)
+
+
+def test_scratch_tables_of_large_rows_need_no_large_direct_buffers(spark):
+    def large(batches):
+        for rb in batches:
+            for _ in range(0, 30 * rb.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(1).bytes(1 << 20)], pa.binary())], ["x"])
+
+    jvm = spark.sparkContext._jvm
+    pools = jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+    direct = lambda: next(p.getMemoryUsed() for p in pools if p.getName() == "direct")
+    jvm.System.gc()
+    before = direct()
+    saved = save(spark.range(1).coalesce(1).mapInArrow(large, "x binary"), "large")
+    assert direct() - before < 30 << 20 and saved.count() == 30
