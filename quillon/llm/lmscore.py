@@ -365,7 +365,7 @@ class Model:
         ids = np.where(frames >= 0, self.input_of[np.maximum(frames, 0)], np.where(frames == BEGIN, self.begin, self.pad))
         return ids[:, :-1], self.kind[np.maximum(frames[:, T - S + 1 :], 0)], frames[:, T - S + 1 :] >= 0
 
-    def log_symbols(self, sym: np.ndarray, n_doc: np.ndarray, batch: int = 64) -> np.ndarray:
+    def log_symbols(self, sym: np.ndarray, n_doc: np.ndarray, batch: int = 128) -> np.ndarray:
         """Natural log probability of each symbol's class; each is scored in one window."""
         out = np.zeros(len(sym))
         doc, at = windows(n_doc)
