@@ -4,7 +4,8 @@ Words are cut into subwords by a public tokenizer. A symbol is a subword with
 the flag "last of its word", so words are prefix-free and the symbols' chain rule
 gives a proper distribution over words. One attention head over windows of
 ``T`` symbols predicts a symbol's class (frequent symbols are their own class,
-the others are clustered by their contexts); within a class a symbol has its
+the others are clustered by their contexts), first its group of classes and then the class in that
+group, so a target takes 2 * GROUPS exponentials and not CLASSES; within a class a symbol has its
 share. Windows overlap: each has ``S`` new positions, which are scored once, and
 T - S positions of context. Windows never cross documents.
 
@@ -45,6 +46,7 @@ from .words import NOT_SPACE, Words, give_back, reuse_memory, text_bytes, text_s
 T, S, D, H, SINGLES, CLUSTERS, OWN = 48, 40, 16, 24, 32, 32, 4096
 KINDS = 4  # first or later, last or not: of a word's symbols
 CLASSES = SINGLES + CLUSTERS
+GROUPS = math.isqrt(CLASSES)  # of consecutive classes, as many as each has: the net gives the group and then the class in it
 HELD, ROUNDS, REACH, BINS, SLOT_BITS = 16, 4, 6, 64, 22
 STRIDE, TOGETHER = 1, 4096  # the net learns from every window; so many are stored together
 PARTS = [f"f{i}" for i in range(ROUNDS)]
@@ -153,18 +155,40 @@ def _with_bias(w: np.ndarray, bias: np.ndarray, more: int = 0) -> np.ndarray:
     return out
 
 
-def _exponentials(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of z @ w, up to a factor for each row, and the rows' sums; rows are brought to their highest only where some leave the range."""
-    y = z @ w
-    if y.max(initial=0) <= 80:
-        np.exp(y, out=y)
-        each = y @ _ONES[:CLASSES, 0]
+def _exponentials(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores, GROUPS at a time, up to a factor for these, and their sums; ``y`` is brought to their highest (in place) only where some leave the range."""
+    x = y.reshape(-1, GROUPS)
+    if x.max(initial=0) <= 80:
+        e = np.exp(x)
+        each = e @ _ONES[:GROUPS, 0]
         if each.min(initial=1) > 1e-30:
-            return y, each
-        y = z @ w
-    y -= y.max(1, keepdims=True)
-    np.exp(y, out=y)
-    return y, y @ _ONES[:CLASSES, 0]
+            return e, each
+    x -= x.max(1, keepdims=True)
+    e = np.exp(x)
+    return e, e @ _ONES[:GROUPS, 0]
+
+
+_FIRST = np.arange(0, CLASSES, GROUPS, dtype=np.uint8)
+_OWN = np.stack([np.arange(CLASSES) // GROUPS, GROUPS + np.arange(CLASSES) % GROUPS], 1)
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """Places of target classes in ascending order; (group, begin, end) of each group's; and where, among ``scores`` in that order, those of their group and class are."""
+    target = target.astype(np.uint8)  # short ones are sorted by their digits
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    ends = np.searchsorted(target, _FIRST).tolist() + [len(target)]
+    own = _OWN.take(target, 0)
+    own += np.arange(0, 2 * GROUPS * len(target), 2 * GROUPS)[:, None]
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a], own
+
+
+def _scores(z: np.ndarray, w: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Of every group, and of the classes in the target's one."""
+    y = np.empty((len(z), 2 * GROUPS), np.float32)
+    for g, a, b in spans:
+        np.matmul(z[a:b], w[g], out=y[a:b])
+    return y
 
 
 class Attention:
@@ -173,102 +197,114 @@ class Attention:
     def __init__(self, inputs: int, seed: int = 1):
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) * 0.3 / math.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (r.standard_normal((inputs, D)) * 0.3).astype(np.float32), "P": (r.standard_normal((T, D)) * 0.1).astype(np.float32), "Wq": f(D, D), "Wk": f(D, D), "Wv": f(D, D), "W1": f(D, H) * 3, "b1": np.zeros(H, np.float32), "Wo": f(H, CLASSES), "bo": np.zeros(CLASSES, np.float32)}
+        self.p = {"E": (r.standard_normal((inputs, D)) * 0.3).astype(np.float32), "P": (r.standard_normal((T, D)) * 0.1).astype(np.float32), "Wq": f(D, D), "Wk": f(D, D), "Wv": f(D, D), "W1": f(D, H) * 3, "b1": np.zeros(H, np.float32), "Wo": f(H, CLASSES), "bo": np.zeros(CLASSES, np.float32), "Wg": f(H, GROUPS), "bg": np.zeros(GROUPS, np.float32)}
+
+    def outputs(self) -> np.ndarray:
+        """For targets of each group: the weights and biases of all groups, and of its classes."""
+        p, w = self.p, np.empty((GROUPS, H + 1, 2 * GROUPS), np.float32)
+        w[:, :H, :GROUPS], w[:, H, :GROUPS] = p["Wg"], p["bg"]
+        w[:, :H, GROUPS:], w[:, H, GROUPS:] = p["Wo"].reshape(H, GROUPS, GROUPS).transpose(1, 0, 2), p["bo"].reshape(GROUPS, GROUPS)
+        return w
 
     def __getstate__(self) -> dict:
         return {"p": self.p}
 
     def projected(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys, values and embeddings of every input id and of every place, which a window only looks up; biases are weights of a unit that is always one."""
+        """Keys with values, and queries with embeddings, of every input id and of every place, which a window only looks up; biases are weights of a unit that is always one."""
         if not hasattr(self, "_projected"):
             p, root = self.p, np.float32(math.sqrt(D))
             one = lambda x, c: np.concatenate([x, np.full((len(x), 1), c, np.float32)], 1)
             eq, pq, ek, pk, ev, pv = (x @ w for w in (p["Wq"] / root, p["Wk"], p["Wv"]) for x in (p["E"], p["P"]))
             w1 = np.concatenate([one(p["W1"], 0), one(p["b1"][None, :], 1)])
-            self._projected = eq, pq, ek, pk, one(ev, 0), one(pv, 0), one(p["E"], 1), one(p["P"], 0), w1, np.concatenate([p["Wo"], p["bo"][None, :]])
+            both = lambda x, y: np.concatenate([x, y], 1)
+            self._projected = both(ek, one(ev, 0)), both(pk, one(pv, 0)), both(eq, one(p["E"], 1)), both(pq, one(p["P"], 0))[T - S :], w1, self.outputs()
         return self._projected
 
     def log_class(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of the target classes (windows by S)."""
-        eq, pq, ek, pk, ev, pv, ex, px, w1, wo = self.projected()
-        new = ids[:, T - S :]
-        q, k, v, h = eq.take(new, 0), ek.take(ids, 0), ev.take(ids, 0), ex.take(new, 0)
-        q += pq[T - S :]
-        k += pk
-        v += pv
-        h += px[T - S :]
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        ekv, pkv, eqx, pqx, w1, wo = self.projected()
+        kv, qx = ekv.take(ids, 0), eqx.take(ids[:, T - S :], 0)
+        kv += pkv
+        qx += pqx
+        a = np.matmul(qx[:, :, :D], kv[:, :, :D].transpose(0, 2, 1))
         np.minimum(a, _CAP, out=a)
         np.exp(a, out=a)
-        g = np.matmul(a, v).reshape(-1, D + 1)
-        g /= a.reshape(-1, T) @ _ONES[:T]
-        g += h.reshape(-1, D + 1)
-        z = g @ w1
+        h = np.matmul(a, kv[:, :, D:])
+        h /= (a.reshape(-1, T) @ _ONES[:T]).reshape(-1, S, 1)
+        h += qx[:, :, D:]
+        order, spans, own = _by_group(target.ravel())
+        z = h.reshape(-1, D + 1).take(order, 0) @ w1
         np.maximum(z, 0, out=z)
-        y = z @ wo
-        if y.max(initial=0) > 80:
-            y -= y.max(1, keepdims=True)
-        got = y[np.arange(len(y)), target.ravel()]
-        np.exp(y, out=y)
-        return (got - np.log(y @ _ONES[:CLASSES, 0])).reshape(target.shape)
+        y = _scores(z, wo, spans)
+        each = _exponentials(y)[1]
+        got = y.ravel()[own]
+        got -= np.log(each).reshape(-1, 2)
+        out = np.empty(len(y), np.float32)
+        out[order] = got[:, 0] + got[:, 1]
+        return out.reshape(target.shape)
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the used targets, and its gradients; all products but attention's are of two plain matrices.
 
-        Attention's rows are never divided by their sums: values have a component that is always one, so the sums come with the products, and the products are divided.
+        Keys and values are never made: the queries' and keys' weights are one matrix, and attention's means are taken of embeddings.
+        Attention's rows are never divided by their sums: embeddings have a component that is always one, so the sums come with the products, and the products are divided.
         """
         p, b, root = self.p, len(ids), np.float32(math.sqrt(D))
-        x = p["E"].take(ids, 0)
-        x += p["P"]
-        fx, fq = x.reshape(-1, D), x[:, T - S :].reshape(-1, D)
-        wq = p["Wq"] / root
-        q, k = (fq @ wq).reshape(b, S, D), (fx @ p["Wk"]).reshape(b, T, D)
-        v = np.empty((b, T, D + 1), np.float32)
-        v[:, :, D] = 1
-        v[:, :, :D] = (fx @ p["Wv"]).reshape(b, T, D)
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        x = np.concatenate([p["E"], np.ones((len(p["E"]), 1), np.float32)], 1).take(ids, 0)
+        x += np.concatenate([p["P"], np.zeros((T, 1), np.float32)], 1)
+        fq, keys = x[:, T - S :].reshape(-1, D + 1), x[:, :, :D]
+        wqk = p["Wq"] @ p["Wk"].T / root
+        both, left = np.empty((b, 2 * S, T), np.float32), np.empty((b, 2 * S, D), np.float32)  # what a place's gradient adds up, and its factors
+        ds, a, q = both[:, :S], both[:, S:], left[:, :S]
+        q[:] = (fq[:, :D] @ wqk).reshape(b, S, D)
+        np.matmul(q, keys.transpose(0, 2, 1), out=a)
         np.minimum(a, _CAP, out=a)
         np.exp(a, out=a)
-        h = np.matmul(a, v).reshape(-1, D + 1)
-        total = h[:, D:].copy()
-        h /= total  # its last component is one, the biases' unit
-        att = h[:, :D].copy()
-        h[:, :D] += fq
+        att = np.matmul(a, x).reshape(-1, D + 1)
+        total = att[:, D:].copy()
+        att /= total
+        wv = np.zeros((D + 1, D + 1), np.float32)
+        wv[:D, :D] = p["Wv"]
+        h = att @ wv
+        h += fq  # its last component is one, the biases' unit
+        order, spans, own = _by_group(target.ravel())
+        h = h.take(order, 0)
         z = h @ _with_bias(p["W1"], p["b1"], 1)
         np.maximum(z, 0, out=z)
-        y, each = _exponentials(z, _with_bias(p["Wo"], p["bo"]))
-        want, weight = target.ravel() + np.arange(0, y.size, CLASSES), use.ravel().astype(np.float32)
+        wo = self.outputs()
+        y, each = _exponentials(_scores(z, wo, spans))
+        weight = use.ravel()[order].astype(np.float32)
         n = max(1.0, float(weight.sum()))
-        flat = y.reshape(-1)
-        loss = -float((np.log(flat[want] / each + 1e-30) * weight).sum()) / n
+        flat, weight = y.reshape(-1), np.repeat(weight, 2)
+        loss = -float(np.dot(np.log(flat[own.ravel()] / each + 1e-30), weight)) / n
         weight /= np.float32(n)
         y *= (weight / each)[:, None]
-        flat[want] -= weight
-        dz = y @ p["Wo"].T
+        flat[own.ravel()] -= weight
+        y, dz, go = y.reshape(-1, 2 * GROUPS), np.empty((len(z), H), np.float32), np.zeros_like(wo)
+        for i, c, d in spans:
+            np.matmul(y[c:d], wo[i, :H].T, out=dz[c:d])
+            np.matmul(z[c:d].T, y[c:d], out=go[i])
         dz *= z[:, :H] > 0
-        dh = dz @ p["W1"].T
-        go, g1 = z.T @ y, h.T @ dz
-        g = {"Wo": go[:H], "bo": go[H], "W1": g1[:D], "b1": g1[D]}
+        dh, g1 = np.empty((len(z), D), np.float32), h.T @ dz
+        dh[order] = dz @ p["W1"].T
+        g = {"Wg": go[:, :H, :GROUPS].sum(0), "bg": go[:, H, :GROUPS].sum(0), "Wo": go[:, :H, GROUPS:].transpose(1, 0, 2).reshape(H, CLASSES), "bo": go[:, H, GROUPS:].ravel(), "W1": g1[:D], "b1": g1[D]}
         part = np.empty((len(dh), D + 1), np.float32)
-        np.divide(dh, total, out=part[:, :D])
-        np.negative(np.einsum("ij,ij->i", part[:, :D], att), out=part[:, D])
+        np.divide(dh @ p["Wv"].T, total, out=part[:, :D])
+        np.negative(np.einsum("ij,ij->i", part[:, :D], att[:, :D]), out=part[:, D])
         part = part.reshape(b, S, D + 1)
-        ds = np.matmul(part, v.transpose(0, 2, 1))
+        left[:, S:] = part[:, :, :D]
+        np.matmul(part, x.transpose(0, 2, 1), out=ds)
         ds *= a
-        dv = np.matmul(a.transpose(0, 2, 1), part[:, :, :D]).reshape(-1, D)
-        dq, dk = np.matmul(ds, k).reshape(-1, D), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, D)
-        g |= {"Wq": fq.T @ dq / root, "Wk": fx.T @ dk, "Wv": fx.T @ dv}
-        dx = dk @ p["Wk"].T
-        dx += dv @ p["Wv"].T
-        dh += dq @ wq.T
-        dx.reshape(b, T, D)[:, T - S :] += dh.reshape(b, S, D)
-        g["P"] = dx.reshape(b, T, D).sum(0)
-        g["E"] = np.zeros_like(p["E"])
-        at = ids.ravel().astype(np.uint16 if len(p["E"]) <= 1 << 16 else np.int64)  # short ones are sorted by their digits
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        g["E"][at[first]] = np.add.reduceat(dx[order], first)
+        dq = np.matmul(ds, keys).reshape(-1, D)
+        gqk = fq[:, :D].T @ dq / root
+        g |= {"Wq": gqk @ p["Wk"], "Wk": gqk.T @ p["Wq"], "Wv": att[:, :D].T @ dh}
+        dx = np.matmul(both.transpose(0, 2, 1), left)
+        dh += dq @ wqk.T
+        dx[:, T - S :] += dh.reshape(b, S, D)
+        g["P"] = dx.sum(0)
+        pairs = np.zeros((len(p["E"]), D // 2), np.complex64)  # two sums at a time
+        np.add.at(pairs.reshape(-1), (ids.reshape(-1, 1) * (D // 2) + np.arange(D // 2)).ravel(), dx.view(np.complex64).ravel())
+        g["E"] = pairs.view(np.float32)
         return loss, g
 
     def step(self, state: dict, ids: np.ndarray, target: np.ndarray, use: np.ndarray, rate: float) -> float:
@@ -362,8 +398,11 @@ class Model:
 
     def inputs(self, frames: np.ndarray):
         """Of ``frames``: (input ids, target classes, valid)."""
-        ids = np.where(frames >= 0, self.input_of[np.maximum(frames, 0)], np.where(frames == BEGIN, self.begin, self.pad))
-        return ids[:, :-1], self.kind[np.maximum(frames[:, T - S + 1 :], 0)], frames[:, T - S + 1 :] >= 0
+        if not hasattr(self, "_tables"):  # BEGIN and PAD are the places -2 and -1
+            self._tables = np.append(self.input_of, [self.begin, self.pad]), np.append(self.kind, [0, 0])
+        ids, kinds = self._tables
+        targets = frames[:, T - S + 1 :]
+        return ids[frames[:, :-1]], kinds[targets], targets >= 0
 
     def log_symbols(self, sym: np.ndarray, n_doc: np.ndarray, batch: int = 128) -> np.ndarray:
         """Natural log probability of each symbol's class; each is scored in one window."""
@@ -376,7 +415,7 @@ class Model:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of fingerprints in the sorted ``hashes``, or -1: by a table of their high bits, and a search where two share a slot."""
@@ -392,6 +431,20 @@ class Model:
             at[other] = np.where(self.hashes[near] == h[other], near, -1)
         return at
 
+    def joined(self, more: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, sizes and beginnings of the frequent words, ``more`` words and the end: the tables have room for these behind them, so that a slice copies no table."""
+        n, k = len(self.flat), len(self.size)
+        to, last = n + len(more), k + len(lens)
+        if not hasattr(self, "_room") or len(self._room[0]) <= to or len(self._room[1]) <= last:
+            self._room = np.empty(to + len(more) + 1, np.int32), np.empty(last + len(lens) + 1, np.int32), np.empty(last + len(lens) + 1, np.int64)
+            flat, size, begin = self._room
+            flat[:n], size[:k], begin[:k] = self.flat, self.size, np.cumsum(self.size) - self.size
+        flat, size, begin = self._room
+        flat[n:to], flat[to] = more, self.subwords.end
+        size[k:last], size[last] = lens, 1
+        begin[k], begin[k + 1 : last + 1] = n, n + np.cumsum(lens)
+        return flat, size, begin
+
     def symbols(self, rb: pa.RecordBatch):
         """Of a slice: its words' places in the frequent ones (-1: rare), the rare ones and their strings.
 
@@ -409,14 +462,12 @@ class Model:
         one = np.zeros(len(distinct), np.int64)
         one[which] = np.arange(len(rare))
         syms, lens = self.subwords.flat([strings[i] for i in one.tolist()]) if len(distinct) else (np.zeros(0, np.int64),) * 2
-        size = np.concatenate([self.size, lens, [1]])
-        flat = np.concatenate([self.flat, syms, [self.subwords.end]])
-        begin = np.cumsum(size) - size
+        flat, size, begin = self.joined(syms, lens)
         entry = at.copy()
         entry[rare] = len(self.size) + which
         # an end token after each document
         n_words = np.diff(w.first)
-        tokens = np.full(len(h) + len(n_words), len(size) - 1, dtype=np.int64)
+        tokens = np.full(len(h) + len(n_words), len(self.size) + len(lens), dtype=np.int64)
         doc = np.repeat(np.arange(len(n_words)), n_words)
         tokens[np.arange(len(h)) + doc] = entry
         sizes = size[tokens]

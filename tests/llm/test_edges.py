@@ -175,3 +175,42 @@ def test_scratch_tables_of_large_rows_need_no_large_direct_buffers(spark):
     before = direct()
     saved = save(spark.range(1).coalesce(1).mapInArrow(large, "x binary"), "large")
     assert direct() - before < 30 << 20 and saved.count() == 30
+
+
+def test_a_target_takes_the_exponentials_of_its_groups_only(monkeypatch):
+    r, exp, seen = np.random.default_rng(10), np.exp, []
+    net = lmscore.Attention(50)
+    ids, target, use = r.integers(0, 50, (3, lmscore.T)), r.integers(0, lmscore.CLASSES, (3, lmscore.S)), np.ones((3, lmscore.S), bool)
+    monkeypatch.setattr(lmscore.np, "exp", lambda x, *a, **k: seen.append(np.size(x)) or exp(x, *a, **k))
+    net.log_class(ids, target)
+    net.gradients(ids, target, use)
+    monkeypatch.undo()
+    assert sum(seen) <= 2 * target.size * (lmscore.T + lmscore.CLASSES // 2)
+    assert np.allclose(sum(exp(net.log_class(ids, np.full_like(target, c))) for c in range(lmscore.CLASSES)), 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["Wg", "bg", "Wo", "bo", "Wq", "Wk", "Wv"])
+def test_gradients_of_groups_and_attention(name):
+    r = np.random.default_rng(11)
+    net = lmscore.Attention(50)
+    ids, target, use = r.integers(0, 50, (3, lmscore.T)), r.integers(0, lmscore.CLASSES, (3, lmscore.S)), r.random((3, lmscore.S)) < 0.8
+    _, g = net.gradients(ids, target, use)
+    weights, ups = net.p[name], []
+    k = np.unravel_index(int(np.abs(g[name]).argmax()), weights.shape)
+    for step in (0.02, -0.04):
+        weights[k] += np.float32(step)
+        net.__dict__.pop("_projected", None)
+        ups.append(-float(net.log_class(ids, target)[use].sum()) / use.sum())
+    assert abs((ups[0] - ups[1]) / 0.04 - g[name][k]) < 0.02 * abs(g[name][k]) + 2e-4
+
+
+def test_slices_share_the_table_of_frequent_words():
+    m = lmscore.Model()
+    m.subwords = type("Ends", (), {"end": 99})
+    m.flat, m.size = np.arange(7, dtype=np.int32), np.array([3, 4], np.int32)
+    for more, lens in (([50, 51, 52], [1, 2]), ([], []), ([60], [1]), (list(range(70, 90)), [5, 15])):
+        flat, size, begin = m.joined(np.array(more, np.int64), np.array(lens, np.int64))
+        n = 2 + len(lens) + 1
+        assert [flat[b : b + s].tolist() for b, s in zip(begin[:n].tolist(), size[:n].tolist(), strict=True)] == [[0, 1, 2], [3, 4, 5, 6], *(x.tolist() for x in np.split(np.array(more, int), np.cumsum(lens)[:-1].astype(int)) if len(lens)), [99]]
+    assert m.joined(np.zeros(1, int), np.ones(1, int))[0] is m.joined(np.zeros(2, int), np.ones(2, int))[0]
+    assert "_room" not in m.__getstate__()
