@@ -254,10 +254,8 @@ class Attention:
         x += np.concatenate([p["P"], np.zeros((T, 1), np.float32)], 1)
         fq, keys = x[:, T - S :].reshape(-1, D + 1), x[:, :, :D]
         wqk = p["Wq"] @ p["Wk"].T / root
-        both, left = np.empty((b, 2 * S, T), np.float32), np.empty((b, 2 * S, D), np.float32)  # what a place's gradient adds up, and its factors
-        ds, a, q = both[:, :S], both[:, S:], left[:, :S]
-        q[:] = (fq[:, :D] @ wqk).reshape(b, S, D)
-        np.matmul(q, keys.transpose(0, 2, 1), out=a)
+        q = (fq[:, :D] @ wqk).reshape(b, S, D)
+        a = np.matmul(q, keys.transpose(0, 2, 1))
         np.minimum(a, _CAP, out=a)
         np.exp(a, out=a)
         att = np.matmul(a, x).reshape(-1, D + 1)
@@ -292,13 +290,13 @@ class Attention:
         np.divide(dh @ p["Wv"].T, total, out=part[:, :D])
         np.negative(np.einsum("ij,ij->i", part[:, :D], att[:, :D]), out=part[:, D])
         part = part.reshape(b, S, D + 1)
-        left[:, S:] = part[:, :, :D]
-        np.matmul(part, x.transpose(0, 2, 1), out=ds)
+        ds = np.matmul(part, x.transpose(0, 2, 1))
         ds *= a
         dq = np.matmul(ds, keys).reshape(-1, D)
         gqk = fq[:, :D].T @ dq / root
         g |= {"Wq": gqk @ p["Wk"], "Wk": gqk.T @ p["Wq"], "Wv": att[:, :D].T @ dh}
-        dx = np.matmul(both.transpose(0, 2, 1), left)
+        dx = np.matmul(ds.transpose(0, 2, 1), q)
+        dx += np.matmul(a.transpose(0, 2, 1), part[:, :, :D])
         dh += dq @ wqk.T
         dx[:, T - S :] += dh.reshape(b, S, D)
         g["P"] = dx.sum(0)
